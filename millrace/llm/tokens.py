@@ -1,7 +1,7 @@
 """Whole-text encoding with the tokenizers library, once for each distinct chunk.
 
 A text is cut where no tokenizer decision can cross; each worker keeps the ids of the chunks
-that it has met, so that a chunk costs one call of the library per worker and a lookup after.
+that it has met (known by 128-bit hashes), so that a chunk costs one call of the library per worker and a lookup after.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from millrace.llm.arrowio import spans_to_places, words_of
 
 #: Chunks that a worker remembers; beyond that it forgets those that it has met the least.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 1_000_000
 
 #: Characters above ASCII that some regular-expression engine counts as white space or joins to a neighbour.
-_WIDE_SPACE = "\x80-\x9f\xa0 ᠎ -‏ -  -⁤　﻿"
+_WIDE_SPACE = "\x80-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 #: A chunk may start before a space that one of these characters follows.
 _OPENS = f"^[^\x00-\x20\x7f{_WIDE_SPACE}]"
 
@@ -72,56 +73,58 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32)
-        self.start = np.zeros(1 << 18, np.int64)
-        self.length = np.zeros(1 << 18, np.int32)
-        self.met = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        """A chunk is known by its 128-bit hash: `key` is sorted, `check` is the other half."""
+        none = np.zeros(0, np.uint64)
+        self.key, self.check, self.start, self.length, self.met = none, none, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32), 0
 
     def _shrink(self) -> None:
         """Keep the better half of the chunks: those met in the most slices."""
-        n = len(self.place)
-        order = np.argsort(-self.met[:n], kind="stable")
-        keep = np.sort(order[: n // 2])
+        order = np.argsort(-self.met, kind="stable")
+        keep = np.sort(order[: len(order) // 2])
         keep = keep[self.met[keep] > 1]
-        names = list(self.place)
         size = self.length[keep].astype(np.int64)
         ids = self.flat[spans_to_places(self.start[keep], size)]
-        self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.start[: len(keep)], self.length[: len(keep)], self.met[: len(keep)] = np.cumsum(size) - size, size, self.met[keep] // 2
-        self.met[len(keep) :] = 0
+        self.key, self.check, self.length, self.met = self.key[keep], self.check[keep], self.length[keep], self.met[keep] // 2
+        self.start = np.cumsum(size) - size
         self.flat[: len(ids)], self.used = ids, len(ids)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = [x.ids for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            n, first = np.fromiter(map(len, ids), np.int32, len(ids)), len(self.place)
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, (self.key[at] == key) & (self.check[at] == check)
+
+    def _places(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `flat` the ids of each of some distinct chunks begin, and their number."""
+        if len(self.key) > CACHE_CHUNKS:
+            self._shrink()
+        digests = b"".join(map(xxhash.xxh3_128_digest, chunks.cast(pa.binary()).to_pylist()))
+        check, key = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+        at, known = self._find(key, check)
+        new = np.flatnonzero(~known)
+        start, length = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int32)
+        start[known], length[known] = self.start[at[known]], self.length[at[known]]
+        self.met[at[known]] += 1
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            ids = [x.ids for x in self.library.encode_batch_fast(chunks.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-                self.met = np.concatenate([self.met, np.zeros_like(self.met)])
             self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.flat.dtype, total)
-            self.start[first : first + len(part)] = self.used + np.cumsum(n) - n
-            self.length[first : first + len(part)] = n
+            start[part], length[part] = self.used + np.cumsum(n) - n, n
             self.used += total
-            self.place.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def _places(self, chunks: list[str]) -> np.ndarray:
-        """Where each of some distinct chunks is kept."""
-        if len(self.place) > CACHE_CHUNKS:
-            self._shrink()
-        get = self.place.get
-        missing = [c for c in chunks if get(c) is None]
-        if missing:
-            self._learn(missing)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        self.met[at] += 1
-        return at
+        if len(new):
+            order = new[np.argsort(key[new], kind="stable")]
+            order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+            order = order[~np.isin(key[order], self.key)] if len(self.key) else order
+            into = np.searchsorted(self.key, key[order])
+            self.key, self.check = np.insert(self.key, into, key[order]), np.insert(self.check, into, check[order])
+            self.start, self.length = np.insert(self.start, into, start[order]), np.insert(self.length, into, length[order])
+            self.met = np.insert(self.met, into, np.ones(len(order), np.int32))
+        return start, length
 
     def _chunks(self, text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         if self.kind == "word":
@@ -169,13 +172,14 @@ class Encoder:
         code, used = chunks.indices.to_numpy().astype(np.int64), np.zeros(len(chunks.dictionary), bool)
         used[code] = True
         wanted = np.flatnonzero(used)
-        where = np.zeros(len(used), np.int64)
         distinct = chunks.dictionary.take(pa.array(wanted)).dictionary_encode()
-        places = self._places(distinct.dictionary.to_pylist())
-        where[wanted] = places[distinct.indices.to_numpy()] if len(places) else 0
-        at = where[code]
-        n = self.length[at].astype(np.int64)
-        ids = self.flat[spans_to_places(self.start[at], n)]
+        start, length = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+        if len(wanted):
+            first, n = self._places(distinct.dictionary)
+            back = distinct.indices.to_numpy()
+            start[wanted], length[wanted] = first[back], n[back]
+        n = length[code]
+        ids = self.flat[spans_to_places(start[code], n)]
         return ids, np.concatenate([[0], np.cumsum(n)])[offsets]
 
 
