@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage whose query() it is.
 MODULES = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_quality_rules": "quality_rules",
     "op3_quality_classifier": "classifier",
     "op4_ngram_jaccard_join": "jaccard",
     "op5_exact_top_k": "vector_search",
     "op6_best_fit_packing": "packing",
+    "op7_suffix_array_dedup": "suffix_array",
     "op8_token_files": "token_files",
     "op9_pii": "pii",
     "op10_byte_bpe": "byte_bpe",
