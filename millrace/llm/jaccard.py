@@ -7,7 +7,7 @@ length of its prefix, for which its postings and candidates are estimated to cos
 is verified if it shares min(l, l') prefix shingles.
 
 Links are only needed up to reachability, so a posting list is first checked against its most
-central member; afterwards only pairs that are still in different components are looked for.
+central members (one, and one more for each eightfold of its length); afterwards only pairs that are still in different components are looked for.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowio import materialised, reachable, slices, texts
@@ -71,25 +71,45 @@ def _joined(table: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles and node of each row; no node where there are no words."""
+    """id, a hash of the text, n_shingles and node of each row; no node where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in _sets_of(batches, size, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.int64())], [id_col, "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.int64())], [id_col, "text_key", "n_shingles", "node"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_shingles bigint, node bigint")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, text_key bigint, n_shingles bigint, node bigint")
+
+
+def _gaps(values: np.ndarray, base: int) -> bytes:
+    """Sorted numbers as 16-bit gaps; a full step of 65535 has no number at its end."""
+    gap = np.diff(values.astype(np.int64), prepend=base)
+    full = gap // 65535
+    out = np.full(len(gap) + int(full.sum()), 65535, np.uint16)
+    out[np.cumsum(full + 1) - 1] = gap - 65535 * full
+    return out.tobytes()
+
+
+def _from_gaps(data: bytes, base: int) -> np.ndarray:
+    step = np.frombuffer(data, np.uint16)
+    return (base + np.cumsum(step, dtype=np.int64))[step != 65535].astype(np.uint32)
 
 
 def heavy_cells(texts_only: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingle cells (upper 32 bits) that the most nodes hold, and their counts, from all documents."""
     most = max(1, HEAVY_CELLS // buckets)
 
+    def low(bucket: int) -> int:
+        return -(-(bucket << 32) // buckets)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             cells = np.sort(np.concatenate(held))
-            return _dealt((cells.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), [cells], ["cells"])
+            bucket = cells.astype(np.int64) * buckets >> 32
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            packed = [_gaps(cells[i:j], low(int(bucket[i]))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "cells"])
 
         for _, s in _once(batches, size):
             held.append((s >> np.uint64(32)).astype(np.uint32))
@@ -101,7 +121,8 @@ def heavy_cells(texts_only: DataFrame, size: int, buckets: int) -> tuple[np.ndar
             yield flush()
 
     def heaviest(table: pa.Table) -> pa.Table:
-        cells = np.sort(_joined(table, {"cells": "<u4"})[0])
+        base = low(table.column("bucket")[0].as_py())
+        cells = np.sort(np.concatenate([_from_gaps(x, base) for x in table.column("cells").to_pylist()]))
         first = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
         n = np.diff(np.append(first, len(cells)))
         keep = np.flatnonzero(n >= 3)
@@ -221,9 +242,14 @@ def _leaders(percent: int):
             for i in range(b.num_rows):
                 token, node, n, _, _ = _joined(pa.Table.from_batches([b.slice(i, 1)]), _ENTRY)
                 first, length = _runs(token)
-                lead = np.repeat(first, length)
-                keep = _near(n, n[lead], percent) & (node != node[lead])
-                yield _pairs(node[keep], node[lead[keep]])
+                begin, size = np.repeat(first, length), np.repeat(length, length)
+                x, y = [], []
+                for k in range(int(np.log2(max(2, length.max(initial=1))) / 3) + 1):  # entries lie in the order of their places
+                    lead = np.minimum(begin + k, len(node) - 1)
+                    keep = (size >= 8**k) & _near(n, n[lead], percent) & (node != node[lead])
+                    x.append(node[keep])
+                    y.append(node[lead[keep]])
+                yield _pairs(np.concatenate(x), np.concatenate(y))
 
     return run
 
@@ -258,8 +284,11 @@ def _across(percent: int):
                 out_b.append(node[y[q]])
                 need.append(both[p, q])
         a, b, w = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b, need))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.table({"a": pa.array(low.astype(np.int64)), "b": pa.array(high.astype(np.int64)), "need": pa.array(w.astype(np.int64))})
+        low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+        order = np.lexsort((high, low))
+        low, high, w = low[order], high[order], w[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+        return pa.table({"a": low[first], "b": high[first], "n": np.diff(np.append(first, len(low))).astype(np.int64), "need": w[first]})
 
     return run
 
@@ -278,17 +307,17 @@ def _verify(size: int, percent: int):
 
 
 def _filter_bits(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of 2^bits with the hashes of a column set; its size doesn't depend on the rows."""
-    cell = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    rows = values.select(F.shiftright(cell, 16).alias("page"), F.bitwise_not(F.lit(0)).alias("_"), cell.bitwiseAND(65535).alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))  # a page has 65536 bits
+    """A bitmap of 2^bits with the low bits of a column's hashes set; its size doesn't depend on the rows."""
+    cell = F.col(column).bitwiseAND((1 << bits) - 1)
+    rows = values.select(F.shiftright(cell, 16).alias("page"), cell.bitwiseAND(65535).cast("int").alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))  # a page has 65536 bits
     found = np.zeros(1 << bits, bool)
-    for r in rows.select("page", "bits").toLocalIterator():
+    for r in rows.toLocalIterator():
         found[(r.page << 16) + np.array(r.bits, np.int64)] = True
     return np.packbits(found)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Every row with n_shingles, node (names its shingle set) and component_id.
+    """Every row with n_shingles, component_id, node (names its shingle set), component (names its group) and text_key.
 
     component_id: the least id among the rows that links reach, itself included. Rows without words
     (or text) have no node and are linked with nothing: their component is their own id. Rows of one
@@ -309,25 +338,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar. Only rows that may be needed are read into the joins."""
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        members = materialised(needed.join(nodes, "node"), "candidates")
+        members = materialised(needed.join(nodes, "node").select("node", F.xxhash64(id_col).alias("key")), "candidates")
         bits = min(26, max(17, int(np.ceil(np.log2(max(2, members.count()) * 16)))))
-        page = spark.sparkContext.broadcast(_filter_bits(members, id_col, bits))
+        page = spark.sparkContext.broadcast(_filter_bits(members, "key", bits))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                cell = whole.column(2).to_numpy()
+                cell = whole.column(0).to_numpy() & ((1 << bits) - 1)
                 hit = (page.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-                whole = whole.filter(pa.array(hit))
-                for b in slices(whole, 1):
+                for b in slices(whole.filter(pa.array(hit)), 1):
                     t = texts(b, 1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) if len(s) else None for s in shingle_sets(_lower(t), size)], pa.int64()), t], [id_col, "node", "text"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(s) if len(s) else None for s in shingle_sets(_lower(t), size)], pa.int64()), t], ["key", "node", "text"])
 
-        rows = docs.select(id_col, text_col, F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).alias("cell"))
-        picked = rows.mapInArrow(pick, f"`{id_col}` {dict(docs.dtypes)[id_col]}, node bigint, text string")
-        member = members.select(F.col("node").alias("m_node"), F.col(id_col).alias("m_id"))
-        whole = materialised(picked.join(member, (F.col("node") == F.col("m_node")) & F.col(id_col).eqNullSafe(F.col("m_id"))).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
-        left, right = whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), whole.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a bigint, b bigint")
+        picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(pick, "key bigint, node bigint, text string")
+        # a node's texts with the chosen id; a repeated row makes a pair come twice, which does no harm
+        whole = materialised(picked, "candidate-texts")
+        keyed = pairs.join(members.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(members.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+        left, right = (whole.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+        return keyed.join(left, ["a", "ka"]).join(right, ["b", "kb"]).select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a bigint, b bigint")
 
     first = materialised(shared.mapInArrow(_leaders(percent), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).select("a", "b"), "leader-pairs")
     links = materialised(verified(first), "links")
@@ -343,8 +371,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     flat = shared.mapInArrow(unpack, "bucket int, token bigint, node bigint, n int, pos int, ask int")
     labelled = flat.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_lists = labelled.groupBy("bucket").applyInArrow(_across(percent), "a bigint, b bigint, need bigint")
-    rest = mixed_lists.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    mixed_lists = labelled.groupBy("bucket").applyInArrow(_across(percent), "a bigint, b bigint, n bigint, need bigint")
+    rest = mixed_lists.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     second = materialised(rest.join(first, ["a", "b"], "left_anti"), "later-pairs")
     if second.limit(1).count():
         more = materialised(verified(second), "links")
@@ -352,11 +380,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             labels = components(links.union(more))
 
     reached = nodes.join(labels, "node").groupBy("component").agg(F.min(id_col).alias("least"))
-    named = labels.join(reached, "component").select("node", "least")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("least", id_col).alias("component_id"))
-    return mine.join(own, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"), "node")
+    named = labels.join(reached, "component").select("node", "component", "least")
+    own = nodes.join(named, "node", "left").select("node", F.coalesce("least", id_col).alias("component_id"), F.coalesce("component", "node").alias("component"))
+    return mine.join(own, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"), "node", "component", "text_key")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows and columns of docs with one row of each group of near duplicates: that of the least id (of
+    several texts with this id the one whose hash is least; of equal rows one). Rows without words all stay.
+    A group without any id keeps one row."""
+    found = join(docs, id_col, text_col, size, percent)
+    chosen = found.where(F.col("node").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col(id_col), "text_key")).alias("k"))
+    keep = chosen.select(F.col(f"k.{id_col}").alias("_id"), F.col("k.text_key").alias("_key"), F.lit(True).alias("_once")).union(
+        found.where("node is null").select(F.col(id_col), "text_key", F.lit(False)).distinct()
+    )
+    rows = docs.withColumn("_own", F.xxhash64(text_col)).join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    first = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy("_own"))
+    return rows.withColumn("_n", first).where(~F.col("_once") | (F.col("_n") == 1)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4_ngram_jaccard_join."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
