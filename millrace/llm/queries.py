@@ -21,12 +21,33 @@ MODULES = {
     "op10_byte_bpe": "byte_bpe",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
+
+
+def _covered(window: int) -> str:
+    """Words with a flag: covered by a window that starts twice or more. Windows are compared as texts."""
+    return f"""{_WORDS}, k AS (SELECT doc_id, unnest(range(1, len(ws) - {window - 2})) AS i, unnest(list_transform(range(1, len(ws) - {window - 2}), lambda i: array_to_string(ws[i:i + {window - 1}], ' '))) AS key FROM w WHERE len(ws) >= {window}),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY key) AS c FROM k), r AS (SELECT doc_id, i FROM n WHERE c > 1), u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+c AS (SELECT u.doc_id, j, word, coalesce(max(i) OVER (PARTITION BY u.doc_id ORDER BY j) > j - {window}, false) AS gone FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.j)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"WITH {_covered(35)}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS m, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS h FROM c GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, coalesce(h, sha256('')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)",
+    "op4_ngram_jaccard_join": f"""WITH RECURSIVE {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), t(a, b) AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), m AS (SELECT a, min(b) AS b FROM t GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, coalesce(least(doc_id, b), doc_id) AS component_id FROM s LEFT JOIN m ON a = doc_id""",
+    "op5_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p) SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op7_suffix_array_dedup": f"WITH {_covered(50)}, g AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM c WHERE gone) SELECT doc_id, min(j) - 1 AS first_word, max(j) AS end_word, count(*) AS n_words FROM g GROUP BY doc_id, island",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"millrace.llm.{module}").query for name, module in MODULES.items()}
+    return {name: import_module(f"millrace.llm.{module}").query for name, module in MODULES.items()} | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    whole = import_module("corpus_pipeline").ORACLE_SQL
+    return ORACLE_SQL | ({"pipeline": whole} if whole else {})
