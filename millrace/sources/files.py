@@ -100,21 +100,29 @@ class _Tables(HTMLParser):
         self.open: list[list[list[str]]] = []
         self.cell: list[str] | None = None
 
+    def _close(self) -> None:
+        """End the open cell, with or without its end tag."""
+        if self.cell is not None and self.open and self.open[-1]:
+            self.open[-1][-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "table":
             self.open.append([])
         elif tag == "tr" and self.open:
+            self._close()
             self.open[-1].append([])
         elif tag in ("td", "th") and self.open:
+            self._close()
             if not self.open[-1]:
                 self.open[-1].append([])
             self.cell = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell is not None and self.open:
-            self.open[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        if tag in ("td", "th", "tr") and self.open:
+            self._close()
         elif tag == "table" and self.open:
+            self._close()
             rows = [r for r in self.open.pop() if r]
             width = max(map(len, rows), default=0)
             if rows:
