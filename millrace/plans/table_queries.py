@@ -150,3 +150,38 @@ def question_answer(spark, d):
 @query("stage_counts", "SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
 def stage_counts(spark, d):
     return table(spark, d, "orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("t"), "n").unionByName(table(spark, d, "customer").agg(F.count("*").alias("n")).select(F.lit("customer").alias("t"), "n"))
+
+
+_WORDS = "w AS (SELECT l_suppkey AS page, (l_orderkey * 37 + l_linenumber * 11) % 1000 / 2.0::DOUBLE AS x0 FROM lineitem), x AS (SELECT page, CASE WHEN page % 2 = 0 AND x0 BETWEEN 220 AND 280 THEN x0 + 100 ELSE x0 END AS x FROM w)"
+
+
+@query("column_split", f"WITH {_WORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM x), i AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM n WHERE n >= 30 AND x BETWEEN 150 AND 350), g AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY nx - x DESC, x) AS k FROM i WHERE nx IS NOT NULL) SELECT page, (x + nx) / 2 AS split FROM g WHERE k = 1 AND nx - x >= 50")
+def column_split(spark, d):
+    from millrace.operators import layout
+
+    x0 = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 1000 / 2.0
+    words = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0")).withColumn("x", F.when((F.col("page") % 2 == 0) & F.col("x0").between(220, 280), F.col("x0") + 100).otherwise(F.col("x0"))).withColumn("width", F.lit(500.0))
+    return layout.column_splits(words)
+
+
+@query("table_section", "SELECT o_orderkey AS doc_id, (SELECT 'p' || min_by(l_partkey, l_linenumber * 1000000 + l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS section FROM orders")
+def table_section(spark, d):
+    from millrace.operators import layout
+
+    chunks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey").alias("ord"), F.concat(F.lit("p"), F.col("l_partkey")).alias("section"))
+    return layout.with_section(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), chunks, ["doc_id"])
+
+
+@query("listing_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def listing_page(spark, d):
+    from millrace.operators import layout
+
+    return layout.page_of(table(spark, d, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 50, 100).select("o_orderkey")
+
+
+@query("facts_last_update", "WITH f AS (SELECT user_id, event_type AS key, CAST(event_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, string_agg(key || '=' || value, ',' ORDER BY key) AS facts FROM f WHERE n = 1 GROUP BY user_id")
+def facts_last_update(spark, d):
+    from millrace.operators.memory import facts_of
+
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"), F.struct("ts", "event_id").alias("updated_at"))
+    return facts_of(rows).select("user_id", F.array_join(F.transform(F.array_sort(F.map_keys("facts")), lambda k: F.concat(k, F.lit("="), F.element_at("facts", k))), ",").alias("facts"))

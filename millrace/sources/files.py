@@ -76,11 +76,10 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None, heade
     separator, header = separator or found, has if header is None else header
     first = next(csv.reader([head.splitlines()[0]], delimiter=separator)) if head else []
     names = first if header else [f"col_{i}" for i in range(len(first))]
-    bad = "_corrupt"
-    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{bad} string"])
-    rows = spark.read.schema(schema).option("sep", separator).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).csv(path)
-    extra = F.from_csv(F.col(bad), F.lit(", ".join(f"x{i} string" for i in range(len(names) + 1))), {"sep": separator})[f"x{len(names)}"]
-    kept = rows.where(F.col(bad).isNull() | extra.isNull()).drop(bad)
+    # one column more than there are names: what reaches it comes from a row with too many fields
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    rows = spark.read.schema(schema).option("sep", separator).option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
+    kept = rows.where(F.col(f"c{len(names)}").isNull()).drop(f"c{len(names)}")
     return slugged(kept.toDF(*names))
 
 
