@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +18,12 @@ def session(master: str | None = None, name: str = "millrace", partitions: int |
     for key, value in more.items():
         build = build.config(key.replace("__", "."), value)
     return build.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Put this package on the Python path of the executors' workers."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in have.split(":"):
+        env["PYTHONPATH"] = f"{root}:{have}" if have else root
+    return spark
