@@ -36,7 +36,7 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
-    return pii.redact(docs, pii.train(docs))
+    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

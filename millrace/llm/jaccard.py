@@ -236,6 +236,11 @@ def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
 
 
+def _lead(size: int) -> int:
+    """Leaders of a posting list: one, and one more for each eightfold of its length."""
+    return (size.bit_length() - 1) // 3 + 1
+
+
 def _leaders(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,7 +249,7 @@ def _leaders(percent: int):
                 first, length = _runs(token)
                 begin, size = np.repeat(first, length), np.repeat(length, length)
                 x, y = [], []
-                for k in range(int(np.log2(max(2, length.max(initial=1))) / 3) + 1):  # entries lie in the order of their places
+                for k in range(_lead(int(length.max(initial=1)))):  # entries lie in the order of their places
                     lead = np.minimum(begin + k, len(node) - 1)
                     keep = (size >= 8**k) & _near(n, n[lead], percent) & (node != node[lead])
                     x.append(node[keep])
@@ -259,13 +264,16 @@ def _across(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         token, node, n, pos, ask, comp = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "ask", "component"))
-        order = np.lexsort((node, token))
+        order = np.lexsort((node, pos, token))
         token, node, n, pos, ask, comp = (x[order] for x in (token, node, n, pos, ask, comp))
         first, length = _runs(token)
+        if len(first):  # of two, one has been the other's leader; lists of one component need nothing
+            keep = (length > 2) & (np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first))
+            first, length = first[keep], length[keep]
         out_a, out_b, need = [], [], []
         for f, m in zip(first.tolist(), length.tolist(), strict=True):
-            c = comp[f : f + m]
-            names, back, counts = np.unique(c, return_inverse=True, return_counts=True)
+            f, m = f + _lead(m), m - _lead(m)  # pairs with a leader have been verified
+            names, back, counts = np.unique(comp[f : f + m], return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
             main = int(np.argmax(counts))
@@ -394,8 +402,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = chosen.select(F.col(f"k.{id_col}").alias("_id"), F.col("k.text_key").alias("_key"), F.lit(True).alias("_once")).union(
         found.where("node is null").select(F.col(id_col), "text_key", F.lit(False)).distinct()
     )
-    rows = docs.withColumn("_own", F.xxhash64(text_col)).join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    first = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy("_own"))
+    # one key of both, never null: the window below needs no other shuffle than the join's
+    rows = docs.withColumn("_own", F.xxhash64(text_col)).withColumn("_k", F.xxhash64(id_col, "_own"))
+    keep = keep.withColumn("_k", F.xxhash64("_id", "_key"))
+    rows = rows.join(keep, (rows["_k"] == keep["_k"]) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))).drop(keep["_k"])
+    first = F.row_number().over(Window.partitionBy("_k", id_col, "_own").orderBy("_own"))
     return rows.withColumn("_n", first).where(~F.col("_once") | (F.col("_n") == 1)).select(*docs.columns)
 
 
