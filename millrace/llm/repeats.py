@@ -137,13 +137,17 @@ def repeated_spans(docs: DataFrame, window: int, cut: Cut, answer: Callable[[pa.
 
         def flush() -> pa.RecordBatch:
             out: list[tuple] = []
+            known: dict[tuple, list[tuple[int, int]]] = {}
             for (words, anchor, bucket), places in held.values():
                 n = words.count(b" ") + 1
                 if len(places) > 1:  # repeated here: answered here
-                    out += [(bucket, i, t, f, None, n, None) for i, t, f in places]
+                    for i, t, f in places:
+                        known.setdefault((i, t), []).append((f, f + n))
                     out.append((bucket, None, None, None, anchor, n, words))
                 else:
                     out.append((bucket, *places[0], anchor, n, words))
+            for (i, t), spans in known.items():  # answers are joined for each row and dealt by the row
+                out += [(t % buckets, i, t, f, None, z - f, None) for f, z in joined(sorted(spans))]
             cols = list(zip(*out, strict=True))
             kinds = [pa.int32(), id_kind, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -207,17 +211,21 @@ def by_row(spans: DataFrame, id_col: str) -> DataFrame:
     return spans.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans")).withColumnRenamed("id", id_col)
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans with those that touch or overlap joined."""
     out: list[tuple[int, int]] = []
-    for s in spans:
-        if out and s["first"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
+    for first, end in spans:
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
-            out.append((s["first"], s["end"]))
+            out.append((first, end))
     return out
 
 
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    return joined([(s["first"], s["end"]) for s in spans])
+
+
 def runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of runs of marked neighbours of one group."""
     at = np.flatnonzero(mask)
