@@ -141,11 +141,12 @@ def _ceil(n, percent: int):
     return -(-percent * n // 100)
 
 
-def choose(heavy: np.ndarray, base: int, most: int = 4, verify: int = 8) -> int:
+def choose(heavy: np.ndarray, base: int, most: int = 4, verify: float = 0.25) -> int:
     """How many prefix shingles to ask for. heavy: counts along the order, 0 for rare shingles.
 
-    An l-prefix costs its postings, and `verify` for each expected candidate: the postings without
-    the l - 1 longest lists, shared out over l matches.
+    An l-prefix costs its postings, each of which meets the rest of its list, and `verify` for each
+    expected candidate: the postings without the l - 1 longest lists, shared out over l matches. A
+    candidate weighs less than a posting, as leaders settle most candidates before they are verified.
     """
     best, cost = 1, None
     for ask in range(1, most + 1):
