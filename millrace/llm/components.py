@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowio import materialised
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): each linked node with the least node that it reaches.
 
-    Each round takes the least label among the neighbours and then the label's own label, so that
-    chains halve. Every round is written to the shared folder; only the number of changed labels
-    comes to the driver.
+    Randomised contraction: each round deals the nodes a new order by hash, every node gives way to
+    the first among its neighbours and itself, and the links between those make the next round's
+    graph. A round is expected to leave at most three quarters of the nodes, whatever the links'
+    shape, so rounds grow with the logarithm of the nodes; the loop ends when no link is left, and
+    running past `rounds` is an error. The choices are then followed back from the last round to the
+    first. Every round is written to the shared folder; only whether links are left comes to the driver.
     """
-    both = materialised(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("other"))
-        step = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "other").alias("next"))
-        own = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        jumped = materialised(step.join(own, "next", "left").select("node", F.least("next", F.coalesce("root", "next")).alias("component"), (F.least("next", F.coalesce("root", "next")) < F.col("component")).alias("changed")), "labels")
-        labels = jumped.select("node", "component")
-        if not jumped.where("changed").limit(1).count():
+
+    def dealt(node: str, turn: int) -> Column:
+        return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("h"), F.col(node).alias("rep"))
+
+    left = materialised(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    levels = []
+    for turn in range(rounds):
+        first = left.groupBy("a").agg(F.min(dealt("b", turn)).alias("k"))
+        chosen = materialised(first.select(F.col("a").alias("node"), F.least("k", dealt("a", turn))["rep"].alias("rep")), "chosen")
+        levels.append(chosen)
+        ends = (chosen.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
+        moved = left.join(next(ends), "a").join(next(ends), "b").where("ra <> rb")
+        left = materialised(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        if not left.limit(1).count():
             break
-    return labels
+    else:
+        raise RuntimeError(f"links are left after {rounds} rounds of contraction")
+    labels = levels.pop()
+    while levels:
+        later = labels.select(F.col("node").alias("rep"), F.col("rep").alias("last"))
+        labels = materialised(levels.pop().join(later, "rep", "left").select("node", F.coalesce("last", "rep").alias("rep")), "labels")
+    least = labels.groupBy("rep").agg(F.min("node").alias("component"))
+    return materialised(labels.join(least, "rep").select("node", "component"), "labels")
