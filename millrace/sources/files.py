@@ -148,8 +148,11 @@ def pages_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", html_to_text(F.col(html)))
 
 
-def _mail(raw: bytes, depth: int = 0, base: int = 0) -> list[tuple[int, str, str]]:
-    """(page, kind, text) of a message; attachment n has its pages from 1000 * (n + 1) on and a tag."""
+def _mail(raw: bytes, known: dict | None = None) -> list[tuple[int, str, str]]:
+    """(page, kind, text) of a message; attachment n goes through the same readers, mails in mails included, and
+    has its pages from 1000 * (n + 1) on and a tag. One that fails gives a row of kind "error", one without
+    a reader its size."""
+    known = READERS if known is None else known
     m = email.message_from_bytes(raw, policy=email.policy.default)
     head = "\n".join(f"{k}: {m[k]}" for k in ("Subject", "From", "To", "Date") if m[k])
     plain, rich, files = [], [], []
@@ -164,18 +167,21 @@ def _mail(raw: bytes, depth: int = 0, base: int = 0) -> list[tuple[int, str, str
     grids = [t for h in rich for t in tables_in(h)]
     page = re.sub(r"(?is)<(style|script)[^>]*>.*?</\1>", "", "\n".join(rich))
     body = re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", " ", page)) if rich and (grids or not plain) else "\n".join(plain)
-    out = [(base, "header", head)] if head else []
-    out += [(base, "text", p.strip()) for p in re.split(r"\n\s*\n", body) if p.strip()]
-    out += [(base, "table", "\n".join(" | ".join(r) for r in t)) for t in grids]
+    out = [(0, "header", head)] if head else []
+    out += [(0, "text", p.strip()) for p in re.split(r"\n\s*\n", body) if p.strip()]
+    out += [(0, "table", "\n".join(" | ".join(r) for r in t)) for t in grids]
     for n, (name, data) in enumerate(files):
-        at, ext = base + 1000 * (n + 1), name.rsplit(".", 1)[-1].lower()
-        if ext == "eml" and depth < 3:
-            inner = _mail(data, depth + 1, at)
-        elif ext in TEXT_TYPES or ext == "csv":
-            inner = [(at, "table" if ext == "csv" else "text", p.strip()) for p in data.decode("utf-8", "replace").split("\n\n") if p.strip()]
-        else:
-            inner = [(at, "attachment", f"{len(data)} bytes")]
-        out += [(p, k, f"[attachment:{name}]\n{t}") for p, k, t in inner]
+        ext = name.rsplit(".", 1)[-1].lower()
+        try:
+            if ext in known:
+                inner = _read(name, data, known)
+            elif ext == "csv":
+                inner = [(0, "table", p.strip()) for p in data.decode("utf-8", "replace").split("\n\n") if p.strip()]
+            else:
+                inner = [(0, "attachment", f"{len(data)} bytes")]
+        except Exception as e:
+            inner = [(0, "error", str(e)[:500])]
+        out += [(1000 * (n + 1) + p, k, f"[attachment:{name}]\n{t}") for p, k, t in inner]
     return out
 
 
@@ -233,6 +239,14 @@ READERS = {
 }
 
 
+def _read(name: str, raw: bytes, known: dict) -> list[tuple[int, str, str]]:
+    """Blocks of a file by the reader for its extension."""
+    read = known.get(name.rsplit(".", 1)[-1].lower())
+    if read is None:
+        return [(0, "error", "no reader")]
+    return _mail(raw, known) if read is _mail else read(raw)
+
+
 def documents(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
     """Blocks of every file below a path, by a reader for its extension: path, ord, page, kind, text. A reader
     is any function from bytes to (page, kind, text) - PDF and image readers are plugged in here. A file
@@ -243,9 +257,8 @@ def documents(spark: SparkSession, path: str, readers: dict | None = None) -> Da
         for g in batches:
             rows = []
             for name, raw in zip(g["path"], g["content"], strict=True):
-                read = known.get(name.rsplit(".", 1)[-1].lower())
                 try:
-                    found = read(bytes(raw)) if read else [(0, "error", "no reader")]
+                    found = _read(name, bytes(raw), known)
                 except Exception as e:
                     found = [(0, "error", str(e)[:500])]
                 rows += [(name, i, page, kind, t) for i, (page, kind, t) in enumerate(found)]
