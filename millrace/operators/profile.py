@@ -144,15 +144,19 @@ def permissions(grants: DataFrame) -> DataFrame:
     )
 
 
-def descendants(folders: DataFrame, root: object, depth: int = 32) -> DataFrame:
-    """All folders below root (breadth first): folder_id, depth; folders has folder_id and parent_id. Each level
-    is one join with the level before; a folder that was met isn't met again."""
-    level = folders.where(F.col("parent_id") == root).select("folder_id", F.lit(1).cast("bigint").alias("depth"))
+def descendants(folders: DataFrame, root: object, depth: int | None = None) -> DataFrame:
+    """All folders below root (breadth first), or those up to a given depth: folder_id, depth; folders has
+    folder_id and parent_id. Each level is one join with the level before; a folder that was met isn't met again,
+    so the levels end. Levels are checkpointed, so that plans don't grow with the tree."""
+    context = folders.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folders.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    level = folders.where(F.col("parent_id") == root).select("folder_id", F.lit(1).cast("bigint").alias("depth")).checkpoint()
     found, k = level, 1
-    while k < depth and level.limit(1).count():
+    while (depth is None or k < depth) and level.limit(1).count():
         k += 1
-        level = folders.join(level.select(F.col("folder_id").alias("parent_id")), "parent_id").select("folder_id", F.lit(k).cast("bigint").alias("depth")).join(found.select("folder_id"), "folder_id", "left_anti").distinct()
-        found = found.unionByName(level)
+        level = folders.join(level.select(F.col("folder_id").alias("parent_id")), "parent_id").select("folder_id", F.lit(k).cast("bigint").alias("depth")).join(found.select("folder_id"), "folder_id", "left_anti").distinct().checkpoint()
+        found = found.unionByName(level).checkpoint()
     return found
 
 
