@@ -208,6 +208,20 @@ def _xlsx(raw: bytes) -> list[tuple[int, str, str]]:
     return out
 
 
+#: Names of numbered heading styles, of title styles (level 1) and of subtitle styles (level 2).
+HEADINGS = r"(?:heading|titre|überschrift|kop|intestazione|título|encabezado|cabeçalho|rubrik|overskrift)\s*(\d+)"
+TITLES = ("title", "titre", "titel", "titolo", "título", "tittel")
+SUBTITLES = ("subtitle", "sous-titre", "untertitel", "subtítulo")
+
+
+def heading_level(style: str) -> int:
+    """1 to 6 for a heading, title or subtitle style, 0 for any other."""
+    name = style.strip().lower()
+    if numbered := re.match(HEADINGS, name):
+        return int(numbered[1]) if 1 <= int(numbered[1]) <= 6 else 0
+    return 1 if name in TITLES else 2 if name in SUBTITLES else 0
+
+
 def _zip_text(raw: bytes, member: str, tag: str) -> list[tuple[int, str, str]]:
     """Paragraphs of an Office Open XML part, in the order of its members."""
     import zipfile
@@ -223,9 +237,9 @@ def _zip_text(raw: bytes, member: str, tag: str) -> list[tuple[int, str, str]]:
                     t = "".join(x.text or "" for x in p.iter() if x.tag.endswith("}t")).strip()
                     if t:
                         style = next((v for x in p.iter() if x.tag.endswith("}pStyle") for v in x.attrib.values()), "")
-                        level = re.match(r"(?i)(?:heading|titre|überschrift|título)\s*(\d)", style)
+                        level = heading_level(style)
                         used += len(t)
-                        out.append((used // 3000 if tag == "docx" else page, "heading" if level else "text", f"{'#' * int(level[1])} {t}" if level else t))
+                        out.append((used // 3000 if tag == "docx" else page, "heading" if level else "text", f"{'#' * level} {t}" if level else t))
     return out
 
 
