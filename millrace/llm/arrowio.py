@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,14 +29,28 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where that is unset, one
+    machine (a local master, as in tests) gets a folder of its own and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever the case of its letters."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends, executors may go."""
     path = shared_dir(df.sparkSession, name)
@@ -76,8 +91,8 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(got, "") if got.null_count else got
 
 
-def words_of(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of all texts as one dictionary array, and each text's first word's place."""
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of all texts, and each text's first word's place."""
     parts = pc.ascii_split_whitespace(text)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -85,8 +100,17 @@ def words_of(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     if not pc.all(keep).as_py() and len(flat):
         before = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
         flat, offsets = flat.filter(keep), before[offsets]
-    coded = flat.dictionary_encode() if len(flat) else pa.array([], pa.string()).dictionary_encode()
-    return coded, offsets
+    return flat, offsets
+
+
+def words_of(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The same words as one dictionary array."""
+    flat, offsets = split_words(text)
+    return coded(flat), offsets
+
+
+def coded(flat: pa.Array) -> pa.DictionaryArray:
+    return flat.dictionary_encode() if len(flat) else pa.array([], pa.string()).dictionary_encode()
 
 
 def spans_to_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -41,5 +41,5 @@ def clashing(docs):
     """Columns named like those that operators add."""
     from pyspark.sql import functions as F
 
-    names = ["node", "component_id", "component", "text_key", "score", "spans", "id", "a", "b", "first", "end", "n_words", "bucket", "key", "words", "label", "rank", "length", "piece", "start"]
+    names = ["node", "component_id", "component", "text_key", "score", "spans", "id", "a", "b", "first", "end", "n_words", "bucket", "key", "words", "label", "rank", "length", "piece", "start", "_own", "_k", "_n", "_once", "_id", "_key", "_text", "_spans", "n", "w", "l"]
     return docs.select("*", *[F.lit("x").alias(n) for n in names])

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from millrace.llm import jaccard, substring_dedup, suffix_array
 from tests.llm.conftest import SCHEMA
 
@@ -113,7 +115,7 @@ def test_representatives(docs, corpus, clashing):
     assert Counter(of[shingles(r.text)] for r in rows if shingles(r.text)) == Counter({root(k): 1 for k, s in enumerate(sets) if s})
 
 
-def test_a_hot_passage_and_a_hot_group(spark):
+def test_a_hot_passage_and_a_hot_group(spark, monkeypatch):
     """Many unrelated documents share a passage; many near copies share a template."""
     import random
 
@@ -127,9 +129,57 @@ def test_a_hot_passage_and_a_hot_group(spark):
             w[k] = say(1)[0]
         rows.append((i, " ".join(w)))
     _, root, ids = groups([(*x,) for x in rows])
-    sets = [shingles(t) for _, t in rows]
-    got = {x.doc_id: x.component_id for x in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {i: min(ids[root(i)]) for i, _ in rows} and len(sets) == 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for dealt in (False, True):
+        if dealt:  # long lists go over several buckets and are compared in tiles
+            for name, value in (("SPLIT", 12), ("TILE", 8), ("FOLLOWERS", 3)):
+                monkeypatch.setattr(jaccard, name, value)
+        got = {x.doc_id: x.component_id for x in jaccard.join(df).collect()}
+        assert got == {i: min(ids[root(i)]) for i, _ in rows}
+
+
+def test_tiles_find_what_buckets_find(spark):
+    """A dealt list's tiles give the same pairs and counts as one bucket."""
+    import random
+
+    r = random.Random(9)
+    rows = [(1, t, r.randbytes(16), n := r.randint(50, 60), r.randint(0, n // 4), r.randint(1, 3), bytes([r.choice((1, 1, 1, 2, 3, k))] * 16)) for t in range(4) for k in range(40)]
+    names = "bucket int, token bigint, node binary, n int, pos int, ask int, component binary"
+    df = spark.createDataFrame(rows, names)
+    whole = df.groupBy("bucket").applyInArrow(jaccard._across(80), jaccard._FOUND_DDL)
+    try:
+        jaccard.TILE, old = 7, jaccard.TILE
+        tiled = jaccard._tiles(df, 80).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        want = whole.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        got = sorted(tuple(map(str, x)) for x in tiled.collect())
+    finally:
+        jaccard.TILE = old
+    assert got and got == sorted(tuple(map(str, x)) for x in want.collect())
+
+
+def test_a_chain_of_near_copies(spark):
+    """Each document is similar to its neighbours alone, so the links make one long path."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(700)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 100])) for i in range(60)]
+    _, root, ids = groups(rows)
+    assert len(set(map(root, range(60)))) == 1
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_shingles_of_equal_low_bits_both_count():
+    import numpy as np
+    import pyarrow as pa
+
+    def row(token, node, pos):
+        cols = [np.array(token, "<u4"), np.array(node, "S16"), np.full(len(token), 9, "<i4"), np.array(pos, "<i4"), np.ones(len(token), "u1")]
+        return {"bucket": 3, **{k: c.tobytes() for k, c in zip(jaccard._ENTRY, cols, strict=True)}}
+
+    a, b = b"a" * 16, b"b" * 16
+    rows = [row([5, 5, 7], [a, a, a], [0, 1, 2]), row([5, 5, 8], [b, b, b], [0, 1, 2]), row([5, 5, 7], [a, a, a], [0, 1, 2])]
+    kinds = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in jaccard._ENTRY]])
+    token, node, _, pos, _ = jaccard._joined(jaccard._shared(pa.Table.from_pylist(rows, kinds)), jaccard._ENTRY)
+    assert token.tolist() == [5] * 4 and sorted(zip(node.tolist(), pos.tolist())) == [(a, 0), (a, 1), (b, 0), (b, 1)]
 
 
 def test_adaptive_prefix():
