@@ -1,29 +1,36 @@
 """Repeated word sequences across and within documents: what operators 1 and 7 share.
 
 Both look for every sequence of `window` words that starts at two places or more. Both cut documents
-into pieces that are chosen by content (minimisers), send a piece to the bucket of its minimiser and
-compare there. They differ in what a piece is and how a bucket finds repeats.
+into pieces: the stretch of consecutive windows that have one minimiser. A piece goes to the bucket of
+its minimiser and is compared there; the operators differ in how a bucket finds repeats.
 
-Steps: (1) one pass hashes words, names each row's word sequence and lists the pieces' minimisers;
-(2) a bitmap keeps the minimisers that come twice - a piece with any other can't repeat; (3) a second
-pass sends the remaining pieces; (4) buckets answer with the repeated places.
+Steps: (1) one pass hashes words, names each row's word sequence, counts frequent anchors and lists the
+minimisers; (2) a bitmap keeps the minimisers that come twice - a window with any other can't repeat;
+(3) a second pass sends the pieces of the remaining windows; (4) buckets answer with the repeated places.
 
-Copies never travel in numbers: of rows with one word sequence each task sends one, as each window of
-a copy is repeated anyway; of equal pieces each task sends one, marked as repeated, and answers for
-its own places itself. So a bucket gets each distinct piece at most once from a task.
+No minimiser is hot: in the pieces that are sent, common anchors come last in the order, so a window that
+leaves a common passage is dealt by the words around it. Only windows made of nothing but
+common anchors have a common minimiser, and those are mostly equal.
+
+Copies never travel in numbers: of rows with one word sequence (a 128-bit BLAKE2b digest of the words)
+each task sends one, as each window of a copy is repeated anyway; of equal pieces, compared word by
+word, each task sends one, marked as repeated, and answers for its own places itself. So a bucket gets
+each distinct piece at most once from a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import materialised, reachable, slices, texts, words_of
+from millrace.llm.arrowio import coded, materialised, reachable, slices, split_words, texts
 from millrace.llm.hashing import mixed, window_hashes
 
 #: Words of a minimiser.
@@ -33,9 +40,14 @@ MOST_BITS = 30
 #: Bytes of pieces that a task holds before it hands them on.
 FLUSH_BYTES = 24 << 20
 
-#: (document, start, end, anchor, minimiser) of each piece, as arrays over a slice.
-Pieces = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-Cut = Callable[[np.ndarray, np.ndarray, int], Pieces]
+#: An anchor that comes more often than this, and than half a bucket's share of the pieces, is common; of
+#: more than MOST_COMMON the most frequent are. The choice moves pieces between buckets, not results.
+HOT_PIECES, MOST_COMMON = 512, 1 << 20
+#: How often a slice must hold an anchor for it to be counted at all.
+SEEN_OFTEN = 4
+#: Words of the input for each bucket, at most; more input makes more buckets.
+BUCKET_WORDS = 1 << 23
+
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,97 +60,128 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def minimisers(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All whole windows: their starts, documents and the places of their minimisers; and all anchor hashes.
-
-    A window's minimiser is its leftmost anchor with the least upper half of the hash. The place is
-    the lower half of the number of which the least is taken, so one sliding minimum finds both.
-    """
+def windows(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and documents of all whole windows."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    starts = np.flatnonzero(np.arange(len(h)) + window <= at[1:][doc]) if len(h) else np.zeros(0, np.int64)
-    anchors = window_hashes(h, ANCHOR)
-    half = np.uint64(32)
-    least = sliding_least(anchors >> half << half | np.arange(len(h), dtype=np.uint64), window - ANCHOR + 1)[starts]
-    return starts, doc[starts], (least & np.uint64(0xFFFFFFFF)).astype(np.int64), anchors
+    starts = np.flatnonzero(np.arange(len(doc)) + window <= at[1:][doc]) if len(doc) else np.zeros(0, np.int64)
+    return starts, doc[starts]
 
 
-def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Word hashes, where texts begin, word codes, and the words that the codes mean."""
-    words, at = words_of(text)
+def minimisers(anchors: np.ndarray, starts: np.ndarray, window: int, common: np.ndarray | None = None) -> np.ndarray:
+    """The place of each window's minimiser: its leftmost anchor with the least number, which is whether it
+    is common, then the upper bits of its hash. The place is the lower half of the number of which the
+    least is taken, so one sliding minimum finds both.
+    """
+    number = anchors >> np.uint64(33) << np.uint64(32) | np.arange(len(anchors), dtype=np.uint64)
+    if common is not None and len(common) and len(anchors):
+        near = np.minimum(np.searchsorted(common, anchors), len(common) - 1)
+        number |= (common[near] == anchors).astype(np.uint64) << np.uint64(63)
+    least = sliding_least(number, window - ANCHOR + 1)[starts]
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Where neighbours differ in some column, the first place included."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([[True], new]))
+
+
+def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], pa.Array]:
+    """Word hashes, where texts begin, word codes, the words that the codes mean, and each text's words
+    joined by one blank."""
+    flat, at = split_words(text)
+    words = coded(flat)
     names = words.dictionary.cast(pa.binary()).to_pylist()
     table = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
     code = words.indices.to_numpy()
-    return (table[code] if len(names) else table), at, code, names
-
+    plain = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), flat), " ")
+    return (table[code] if len(names) else table), at, code, names, plain
 
-def _sequence(h: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
-
-def _fresh(h: np.ndarray, at: np.ndarray, seen: set[int]) -> tuple[list[int], np.ndarray]:
+def _fresh(plain: pa.Array, seen: set[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Each row's name of its word sequence, and which rows are the first with theirs in this task."""
-    names, new = [], np.zeros(len(at) - 1, bool)
-    for i in range(len(at) - 1):
-        names.append(_sequence(h[at[i] : at[i + 1]]))
+    names, new = [], np.zeros(len(plain), bool)
+    for i, words in enumerate(plain.cast(pa.binary()).to_pylist()):
+        names.append(hashlib.blake2b(words, digest_size=16).digest())
         if names[-1] not in seen:
             seen.add(names[-1])
             new[i] = True
     return names, new
 
 
-def repeated_spans(docs: DataFrame, window: int, cut: Cut, answer: Callable[[pa.Table, int], pa.Table], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int], pa.Table], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has id, text_key and n_words; spans has id, text_key, first and end (words) of
     places that are covered by windows found elsewhere; spans of a row may touch or overlap."""
     spark = reachable(docs.sparkSession)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("text_key"))
+    often = SEEN_OFTEN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        names = [id_col, "text_key", "n_words", "sequence", "bucket", "cells"]
+        seen: set[bytes] = set()
+        names = [id_col, "text_key", "n_words", "sequence", "bucket", "packed", "times"]
         for whole in batches:
             id_kind = whole.schema.field(0).type
             for b in slices(whole, 1):
-                h, at, _, _ = _hashed(texts(b, 1))
-                sequence, new = _fresh(h, at, seen)
+                h, at, _, _, plain = _hashed(texts(b, 1))
+                sequence, new = _fresh(plain, seen)
                 k = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), pa.array(sequence, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-                doc, _, _, _, least = cut(h, at, window)
-                cells = np.sort((mixed(least[new[doc]]) >> np.uint64(32)).astype(np.uint32))
-                bucket = (cells.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), pa.array(sequence, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
+                anchors = window_hashes(h, ANCHOR)
+                start, doc = windows(at, window)
+                place = minimisers(anchors, start, window)
+                first = first_of_runs(place)
+                cells = np.sort((mixed(anchors[place[first[new[doc[first]]]]]) >> np.uint64(32)).astype(np.uint32))
+                bucket = (cells.astype(np.uint64) * np.uint64(least) >> np.uint64(32)).astype(np.int32)
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
                 if len(cells):
                     k = len(edge) - 1
                     packed = [cells[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), *[pa.nulls(k, pa.int64())] * 3, pa.array(bucket[edge[:-1]]), pa.array(packed, pa.binary())], names)
-
-    scanned = materialised(source.mapInArrow(scan, f"`{id_col}` {id_type}, text_key bigint, n_words bigint, sequence bigint, bucket int, cells binary"), "word-scan")
-    rows = scanned.where("bucket is null").select(id_col, "text_key", "n_words", "sequence")
-    total = scanned.agg(F.sum(F.length("cells")).alias("n")).first().n or 0
-    bits = min(MOST_BITS, max(17, int(np.ceil(np.log2(max(2, 2 * total))))))  # 8 cells a piece
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, id_kind), *[pa.nulls(k, pa.int64())] * 2, pa.nulls(k, pa.binary()), pa.array(bucket[edge[:-1]]), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
+                inside = np.repeat(new, np.diff(at)) & (np.arange(len(h)) + ANCHOR <= np.repeat(at[1:], np.diff(at)))
+                anchors = np.sort(anchors[inside])
+                first = first_of_runs(anchors)
+                times = np.diff(np.append(first, len(anchors)))
+                keep = times >= often
+                if keep.any():
+                    packed = [pa.array([x.tobytes()], pa.binary()) for x in (anchors[first[keep]], times[keep].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), *[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), *packed], names)
+
+    scanned = materialised(source.mapInArrow(scan, f"`{id_col}` {id_type}, text_key bigint, n_words bigint, sequence binary, bucket int, packed binary, times binary"), "word-scan")
+    rows = scanned.where("packed is null").select(id_col, "text_key", "n_words", "sequence")
+    words = rows.agg(F.sum("n_words").alias("n")).first().n or 0
+    buckets = max(least, words // BUCKET_WORDS)
+    shared_common = spark.sparkContext.broadcast(_common(scanned, max(HOT_PIECES, words // (window * buckets))))
+
+    total = scanned.where("bucket is not null").agg(F.sum(F.length("packed")).alias("n")).first().n or 0
+    bits = min(MOST_BITS, max(17, int(np.ceil(np.log2(max(2, 2 * total))))))  # 8 cells a minimiser
 
     def twice(table: pa.Table) -> pa.Table:
         cells = np.sort(np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint32)) >> np.uint32(32 - bits)
         return pa.table({"hit": pa.array([np.unique(cells[1:][cells[1:] == cells[:-1]]).astype(np.uint32).tobytes()], pa.binary())})
 
     bitmap = np.zeros(1 << bits >> 3, np.uint8)
-    for r in scanned.where("bucket is not null").select("bucket", "cells").groupBy("bucket").applyInArrow(twice, "hit binary").toLocalIterator():
+    for r in scanned.where("bucket is not null").select("bucket", F.col("packed").alias("cells")).groupBy("bucket").applyInArrow(twice, "hit binary").toLocalIterator():
         hit = np.frombuffer(bytes(r.hit), np.uint32)
         np.bitwise_or.at(bitmap, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bitmap)  # 2^MOST_BITS bits at most
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: dict[bytes, list] = {}
+        seen: set[bytes] = set()
+        held: dict[tuple[bytes, int], tuple[int, list]] = {}
         size = 0
         names = ["bucket", "id", "text_key", "first", "anchor", "n", "words"]
 
         def flush() -> pa.RecordBatch:
             out: list[tuple] = []
             known: dict[tuple, list[tuple[int, int]]] = {}
-            for (words, anchor, bucket), places in held.values():
+            for (words, anchor), (bucket, places) in held.items():
                 n = words.count(b" ") + 1
                 if len(places) > 1:  # repeated here: answered here
                     for i, t, f in places:
@@ -155,22 +198,27 @@ def repeated_spans(docs: DataFrame, window: int, cut: Cut, answer: Callable[[pa.
         for whole in batches:
             id_kind = whole.schema.field(0).type
             for b in slices(whole, 1):
-                h, at, code, word = _hashed(texts(b, 1))
-                _, new = _fresh(h, at, seen)
-                doc, start, end, anchor, least = cut(h, at, window)
-                cell = (mixed(least) >> np.uint64(64 - bits)).astype(np.int64)
+                h, at, code, word, plain = _hashed(texts(b, 1))
+                _, new = _fresh(plain, seen)
+                anchors, common = window_hashes(h, ANCHOR), shared_common.value
+                start, doc = windows(at, window)
+                place = minimisers(anchors, start, window)
+                cell = (mixed(anchors[place]) >> np.uint64(64 - bits)).astype(np.int64)
                 keep = np.flatnonzero(new[doc] & (shared.value[cell >> 3] >> (cell & 7) & 1).astype(bool))
-                doc, start, end, anchor = doc[keep], start[keep], end[keep], anchor[keep]
-                bucket = (mixed(least[keep] ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int32)
+                place = (minimisers(anchors, start, window, common) if len(common) else place)[keep]
+                start, doc = start[keep], doc[keep]
+                first = first_of_runs(place, start - np.arange(len(start)))
+                end = start[np.append(first[1:], len(start)) - 1] + window if len(first) else first
+                doc, start, anchor = doc[first], start[first], place[first]
+                bucket = (mixed(anchors[anchor] ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int32)
                 ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
                 for d, s, e, a, k in zip(doc.tolist(), start.tolist(), end.tolist(), anchor.tolist(), bucket.tolist(), strict=True):
-                    name = xxhash.xxh3_128_digest(h[s:e].tobytes()) + (a - s).to_bytes(4, "little")
+                    name = (b" ".join([word[c] for c in code[s:e].tolist()]), a - s)
                     place = (ids[d], keys[d], s - int(at[d]))
                     got = held.get(name)
                     if got is None:
-                        words = b" ".join([word[c] for c in code[s:e].tolist()])
-                        held[name] = [(words, a - s, k), [place]]
-                        size += len(words) + 200
+                        held[name] = (k, [place])
+                        size += len(name[0]) + 200
                     else:
                         got[1].append(place)
                         size += 100
@@ -195,6 +243,19 @@ def repeated_spans(docs: DataFrame, window: int, cut: Cut, answer: Callable[[pa.
     return rows, spans.union(whole_rows)
 
 
+def _common(scanned: DataFrame, more: int) -> np.ndarray:
+    """Anchors that come more than `more` times, sorted; MOST_COMMON of them at most, so their size is bounded."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchors, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(times)], ["anchor", "times"])
+
+    counted = scanned.where("times is not null").select("packed", "times").mapInArrow(unpack, "anchor bigint, times bigint").groupBy("anchor").agg(F.sum("times").alias("times"))
+    found = counted.where(F.col("times") > more).orderBy(F.col("times").desc(), "anchor").limit(MOST_COMMON).select("anchor").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def replies(table: pa.Table, piece: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Table:
     """Answers for pieces that have a place: places within a piece become places in its document."""
     there = table.column("id").combine_chunks(), table.column("text_key").combine_chunks(), table.column("first").combine_chunks()

@@ -10,25 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import materialised, slices, texts, words_of
+from millrace.llm.arrowio import fresh, materialised, slices, texts, words_of
 from millrace.llm.hashing import mixed, window_hashes
-from millrace.llm.repeats import by_row, merged, minimisers, repeated_spans, replies, runs
+from millrace.llm.repeats import by_row, merged, repeated_spans, replies, runs
 
 WINDOW = 35
 
 
-def super_kmers(h: np.ndarray, at: np.ndarray, window: int):
-    """Runs of consecutive windows of a document that have one minimiser, each as one stretch of words."""
-    start, doc, place, anchors = minimisers(h, at, window)
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
-    new = np.concatenate([[True], place[1:] != place[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return doc[first], start[first], start[last] + window, start[first], anchors[place[first]]
-
-
 def count_windows(table: pa.Table, window: int) -> pa.Table:
     """Sort the windows of a bucket's super-k-mers; those that come twice are repeated. Sorting goes by
     hash; neighbours of one hash are then compared word by word."""
@@ -71,14 +59,16 @@ def _with_marks(table: pa.Table, window: int) -> pa.Table:
 
 def spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key and sorted spans (first word, end) of rows with a window that starts elsewhere too."""
-    _, found = repeated_spans(docs, window, super_kmers, _with_marks, id_col, text_col)
+    _, found = repeated_spans(docs, window, _with_marks, id_col, text_col)
     return by_row(found, id_col)
 
 
 def _rewritten(docs: DataFrame, window: int, names: list[str], run, schema) -> DataFrame:
-    marks = materialised(spans(docs, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "repeated-spans")
-    with_key = docs.select(*names, F.xxhash64("text").alias("_own"))
-    both = with_key.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").select(*names, "_spans")
+    """run over the named columns and, last, the spans of each row."""
+    own, r_id, key, marked = fresh(docs.columns, "_own", "_id", "_key", "_spans")
+    marks = materialised(spans(docs, window).select(F.col("doc_id").alias(r_id), F.col("text_key").alias(key), F.col("spans").alias(marked)), "repeated-spans")
+    with_key = docs.select(*names, F.xxhash64("text").alias(own))
+    both = with_key.join(marks, F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(own) == F.col(key)), "left").select(*names, marked)
     return both.mapInArrow(run, schema)
 
 

@@ -1,4 +1,10 @@
-"""Repeated passages with sparse suffix arrays (operator 7)."""
+"""Repeated passages with sparse suffix arrays (operator 7).
+
+Of all suffixes only those at content-selected places are kept: the minimisers of windows of `least`
+words. A suffix comes with the words that its windows reach on both sides. Buckets sort suffixes by what
+follows and by what precedes, compare neighbours, and extend matches left and right; a document's
+matches are then joined, so a passage of any length comes out whole.
+"""
 
 from __future__ import annotations
 
@@ -10,24 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowio import words_of
-from millrace.llm.repeats import ANCHOR, by_row, merged, minimisers, repeated_spans, replies
+from millrace.llm.repeats import ANCHOR, by_row, merged, repeated_spans, replies
 
 #: Words that a passage must have in common.
 LEAST = 50
 
 
-def suffixes(h: np.ndarray, at: np.ndarray, window: int):
-    """The places that are the minimiser of some window, each with the words around it that windows
-    with this minimiser can reach: window - ANCHOR to the left, window to the right."""
-    start, doc, place, anchors = minimisers(h, at, window)
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
-    new = np.concatenate([[True], place[1:] != place[:-1]])
-    p, d = place[new], doc[new]
-    return d, np.maximum(p - (window - ANCHOR), at[d]), np.minimum(p + window, at[d + 1]), p, anchors[p]
-
-
 def _ordered(words: np.ndarray, begin: np.ndarray, step: int, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort the sequences words[begin], words[begin + step], ... and compare neighbours: the order, and the
     number of words that each has in common with the one before it."""
@@ -43,7 +37,7 @@ def _ordered(words: np.ndarray, begin: np.ndarray, step: int, length: np.ndarray
 
 
 def passages(table: pa.Table, window: int) -> pa.Table:
-    """Extend matches of retained suffixes: all windows around them that come twice or more.
+    """Extend matches of retained suffixes left and right: all windows around them that come twice or more.
 
     Suffixes are sorted by what follows and, again, by what precedes (read backwards). For each
     number a of words to the left, sequences that agree in a words before and window - a words after
@@ -92,7 +86,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id
     ASCII white space and unchanged. Rows of one id are told apart by their texts; a row that comes
     twice repeats all of its text.
     """
-    rows, found = repeated_spans(docs, least, suffixes, passages, id_col, text_col)
+    rows, found = repeated_spans(docs, least, passages, id_col, text_col)
     grouped = by_row(found, id_col)
     names = [id_col, "first", "end", "n_words"]
 

@@ -38,6 +38,40 @@ def test_substring_dedup(docs, corpus, clashing):
     assert key(map(tuple, substring_dedup.digest(clashing).collect())) == key(want)
 
 
+def test_common_anchors_come_last(docs, corpus, spark, monkeypatch):
+    """Results don't depend on which anchors count as common, nor on how many buckets there are."""
+    import random
+
+    from millrace.llm import repeats
+
+    r = random.Random(8)
+    say = lambda n: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(n))
+    passage = say(80)
+    hot = corpus + [(1000 + i, f"{say(r.randint(0, 40))} {passage} {say(r.randint(0, 40))}", "en", "s", 0) for i in range(60)]
+    df = spark.createDataFrame(hot, SCHEMA).repartition(4)
+    for name, value in (("HOT_PIECES", 3), ("SEEN_OFTEN", 1), ("BUCKET_WORDS", 500)):
+        monkeypatch.setattr(repeats, name, value)
+    want = [(i, len(w), sum(g)) for i, w, g in covered(hot, 35)]
+    assert key((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.digest(df).collect()) == key(want)
+    gone = {(i, k) for i, _, g in covered(hot, 50) for k, x in enumerate(g) if x}
+    assert {(x.doc_id, k) for x in suffix_array.repeated_passages(df).collect() for k in range(x.first, x.end)} == gone
+
+
+def test_common_passages_are_dealt_out():
+    """Windows at the edge of a common passage get minimisers outside it."""
+    import numpy as np
+
+    from millrace.llm import repeats
+
+    anchors = np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    start, _ = repeats.windows(np.array([0, 100]), 35)
+    common = np.sort(anchors[20:60])
+    place = repeats.minimisers(anchors, start, 35, common)
+    plain = repeats.minimisers(anchors, start, 35)
+    inside = (start >= 20) & (start + 35 - repeats.ANCHOR < 60)
+    assert ((place >= 20) & (place < 60)).tolist() == inside.tolist() and (plain == start).all()
+
+
 def test_removed_text_keeps_columns(clashing, corpus):
     out = substring_dedup.remove(clashing)
     assert out.columns == clashing.columns
