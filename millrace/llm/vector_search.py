@@ -134,17 +134,18 @@ class _Block:
         w = q * self.step
         middle = (w.astype(np.float32) @ self.cells.T.astype(np.float32)).astype(np.float64)
         weight = np.abs(w).sum(1)
-        slack = 0.5 * weight + 1e-5 * (256 * weight + np.abs(q * self.low).sum(1)) + 1e-3
+        slack = 0.5 * weight + (1e-5 + 1.2e-7 * len(self.low)) * (256 * weight + np.abs(q * self.low).sum(1)) + 1e-3
         return middle + (q @ self.low + 0.5 * w.sum(1) + slack)[:, None]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]
     return scores[order], ids[order]
 
 
-def _search(k: int, out: str, asked, floor):
-    """Each task's best k of each query. `asked`: dim -> (ids, vectors); `floor`: query id -> a score that the kth reaches."""
+def _search(k: int, out: str, asked, floor, step: int):
+    """Each task's best k of each query, `step` queries at a time. `asked`: dim -> (ids, vectors); `floor`:
+    query id -> a score that the kth surely reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = floor.value
@@ -155,8 +156,8 @@ def _search(k: int, out: str, asked, floor):
                     continue
                 names, vectors = asked.value[row["dim"]]
                 block = _Block(row, out)
-                for at in range(0, len(names), 512):
-                    q, name = vectors[at : at + 512], names[at : at + 512]
+                for at in range(0, len(names), step):
+                    q, name = vectors[at : at + step], names[at : at + step]
                     wide = float(np.abs(q.astype(np.float64)).max()) * block.largest() * row["dim"] >= _SAFE
                     upper = np.full((len(q), len(block.ids)), np.inf) if wide else block.bounds(q.astype(np.float64))
                     for i in range(len(q)):
@@ -189,10 +190,10 @@ def _search(k: int, out: str, asked, floor):
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def top_k(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
+def top_k(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = 512) -> DataFrame:
     """The k highest inner products of each query: query_id, rank, vec_id, score; ties to the smaller id.
 
-    Queries are dealt by hash into batches of about BATCH_BYTES, and each batch meets every block where
+    `block` queries are compared at a time. Queries are dealt by hash into batches of about BATCH_BYTES, and each batch meets every block where
     the block is. A first look at some blocks gives each query a score that its kth surely reaches; a
     task carries its own kth score from block to block. Rows with the query's own id take no part;
     several query rows of one id count as one (the least vector); repeated candidate rows each take a
@@ -216,10 +217,10 @@ def top_k(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
         sent = spark.sparkContext.broadcast({d: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.int64)) for d, rows in by_dim.items()})
         floor: dict[int, int] = {}
         if blocks >= 2 * FIRST_LOOK:
-            first = some.mapInArrow(_search(k, index.out, sent, spark.sparkContext.broadcast({})), _FOUND)
+            first = some.mapInArrow(_search(k, index.out, sent, spark.sparkContext.broadcast({}), block), _FOUND)
             kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
             floor = {r.query_id: r.score for r in kth.toLocalIterator()}  # a number a query
-        return index.blocks.mapInArrow(_search(k, index.out, sent, spark.sparkContext.broadcast(floor)), _FOUND)
+        return index.blocks.mapInArrow(_search(k, index.out, sent, spark.sparkContext.broadcast(floor), block), _FOUND)
 
     if turns <= 1:
         every = found(0) if turns else spark.createDataFrame([], _FOUND)

@@ -140,7 +140,7 @@ def test_reliabilities():
     assert belief[0] > 0.5 > belief[1] and belief[2] > 0.9 > 0.1 > belief[3]
 
 
-def test_exact_search(spark):
+def test_exact_search(spark, monkeypatch):
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(600)] + [(600 + i, [0.5] * 8) for i in range(20)]
     bad = [(900, None), (901, [1.0] * 7 + [None]), (902, [1.0] * 7 + [math.nan]), (1000, [1.0] * 7 + [math.inf]), (903, []), (904, [1.0, 2.0]), (1100, [0.1] * 8), (1100, [0.1] * 8)]
@@ -154,6 +154,27 @@ def test_exact_search(spark):
     assert key((x.query_id, x.rank, x.vec_id, x.score) for x in got) == key(want)
     none = df.limit(0)
     assert vector_search.top_k(vector_search.build(none), none).count() == 0
+    index = vector_search.build(df, block=7)
+    for name, value in (("BATCH_BYTES", 150), ("FIRST_LOOK", 4)):  # several batches, and a first look
+        monkeypatch.setattr(vector_search, name, value)
+    found = vector_search.top_k(index, df.where("vec_id % 100 = 0"), block=2)
+    assert key((x.query_id, x.rank, x.vec_id, x.score) for x in found.collect()) == key(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
+def test_search_with_extreme_components(spark):
+    """Scores and components beyond 64 bits are held at its ends; ties and all-equal vectors go by id."""
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [0.0, 0.0]), (100, [3.0, -1.0]), (101, [1e9, 0.5])] + [(i, [0.25, 0.25]) for i in range(102, 130)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = key((x.query_id, x.rank, x.vec_id, x.score) for x in vector_search.top_k(vector_search.build(df, block=5), df.where("vec_id % 100 = 0"), k=4).collect())
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = {i: [clip(math.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:4]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == key(want)
 
 
 @pytest.mark.parametrize("kind", ["documents", "edges"])
