@@ -365,17 +365,23 @@ def _entries_of(table: pa.Table, *more: str) -> list[np.ndarray]:
 
 
 def _across(percent: int):
-    """Pairs of a bucket whose nodes are in different components and may still be similar."""
+    """Pairs of a bucket's entries (without lists' leaders) whose nodes are in different components and may
+    still be similar. A pair that has a leader in any list is decided, so the others' counts are whole."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n, pos, ask, comp = _entries_of(table)
-        names, comp = np.unique(comp, return_inverse=True)
-        order = np.lexsort((node, pos, token))
-        token, node, n, pos, ask, comp = (x[order] for x in (token, node, n, pos, ask, comp.reshape(-1)))
+        entry = _entries_of(table)
+        order = np.argsort(entry[0], kind="stable")
+        token, node, n, pos, ask, comp = (x[order] for x in entry)
         first, length = _runs(token)
+        mixed_list = np.zeros(len(first), bool)
         if len(first):  # lists of one component need nothing
-            keep = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            first, length = first[keep], length[keep]
+            same = np.concatenate([[True], comp[1:] == comp[:-1]])
+            same[first] = True
+            mixed_list = ~np.logical_and.reduceat(same, first)
+        keep = np.repeat(mixed_list, length)
+        token, node, n, pos, ask, comp = (x[keep] for x in (token, node, n, pos, ask, comp))
+        comp = np.unique(comp, return_inverse=True)[1].reshape(-1)
+        first, length = _runs(token)
         found = []
         for f, m in zip(first.tolist(), length.tolist(), strict=True):
             every = [v[f : f + m] for v in (node, n, pos, ask, comp)]
@@ -542,11 +548,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     labels = components(links)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries that may be in an undecided pair: a list's pairs with its leaders have been proposed."""
         for b in batches:
             for i in range(b.num_rows):
-                token, node, n, pos, ask = _joined(pa.Table.from_batches([b.slice(i, 1)]), _ENTRY)
+                entry = _joined(pa.Table.from_batches([b.slice(i, 1)]), _ENTRY)
+                first, length = _runs(entry[0])
+                leaders = np.array([_lead(m) for m in range(int(length.max(initial=0)) + 1)], np.int64)[length]
+                rank = np.arange(len(entry[0])) - np.repeat(first, length)
+                dealt = entry[4] >= _DEALT
+                keep = np.flatnonzero(dealt | (rank >= np.repeat(leaders, length)) & np.repeat(length - leaders > 1, length))
+                token, node, n, pos, ask = (x[keep] for x in entry)
                 bucket = pa.array(np.full(len(token), b.column(0)[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([bucket, pa.array(token.astype(np.int64)), _names(node), pa.array(n), pa.array(pos), pa.array((ask % _DEALT).astype(np.int32)), pa.array(ask >= _DEALT)], ["bucket", *_ENTRY, "dealt"])
+                yield pa.RecordBatch.from_arrays([bucket, pa.array(token.astype(np.int64)), _names(node), pa.array(n), pa.array(pos), pa.array((ask % _DEALT).astype(np.int32)), pa.array(dealt[keep])], ["bucket", *_ENTRY, "dealt"])
 
     flat = shared.mapInArrow(unpack, "bucket int, token bigint, node binary, n int, pos int, ask int, dealt boolean")
     labelled = flat.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
