@@ -81,12 +81,25 @@ def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> p
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
-    cols = [[c[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
+    cols = [[_packed(name, c[order[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)] for name, c in zip(names, columns, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]].astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", *names])
 
 
+def _packed(name: str, x: np.ndarray) -> bytes:
+    return (x.astype("<u2") if name in _NARROW and x.max(initial=0) < 1 << 16 else x).tobytes()
+
+
 def _joined(table: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in kinds.items()]
+    """The columns of all rows' entries; tokens say how many entries a row has."""
+    count = [len(x) // 4 for x in table.column("token").to_pylist()]
+    out = []
+    for name, kind in kinds.items():
+        parts = table.column(name).to_pylist()
+        if name in _NARROW:
+            out.append(np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else kind).astype(kind) for x, n in zip(parts, count, strict=True)] or [np.zeros(0, kind)]))
+        else:
+            out.append(np.frombuffer(b"".join(parts), kind))
+    return out
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -195,6 +208,8 @@ def choose(heavy: np.ndarray, base: int, most: int = 4, verify: float = 0.25) ->
 
 
 _ENTRY = {"token": "<u4", "node": "S16", "n": "<i4", "pos": "<i4", "ask": "u1"}
+#: Columns that travel with two bytes an entry where that is enough.
+_NARROW = ("n", "pos")
 _ENTRY_DDL = "bucket int, token binary, node binary, n binary, pos binary, ask binary"
 #: Marks entries of lists that are dealt over several buckets.
 _DEALT = 0x80
@@ -279,7 +294,7 @@ def _shared(table: pa.Table) -> pa.Table:
     dealt = entry[4][by] >= _DEALT  # its other entries may be in other buckets
     by = by[np.repeat(length > 1, length) | dealt]
     bucket = table.column("bucket")[0].as_py()
-    cols = {k: pa.array([x[by].tobytes()], pa.binary()) for k, x in zip(_ENTRY, entry, strict=True)}
+    cols = {k: pa.array([_packed(k, x[by])], pa.binary()) for k, x in zip(_ENTRY, entry, strict=True)}
     out = pa.table({"bucket": pa.array([bucket], pa.int32()), **cols})
     return out if len(by) else out.slice(0, 0)
 
@@ -432,32 +447,40 @@ def _tiles(dealt: DataFrame, percent: int) -> DataFrame:
     return every.unionByName(outside).groupBy("token", "part", "chunk").applyInArrow(_tile(percent), _FOUND_DDL)
 
 
-def _multi_match(percent: int):
-    """Pairs whose prefixes share min(l, l') shingles, each of which leaves room for enough more."""
+def _multi_match(size: int, percent: int):
+    """Pairs whose prefixes share min(l, l') shingles, each of which leaves room for enough more.
+
+    Prefixes come as the low halves of their hashes: two that meet by chance can only let a pair pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in ("n_a", "ask_a", "prefix_a", "n_b", "ask_b", "prefix_b")}
             keep = []
             for n, ask, x, m, want, y in zip(*cols.values(), strict=True):
-                _, i, j = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True, return_indices=True)
-                i, j = np.sort(i), np.sort(j)
-                room = np.arange(len(i)) + np.minimum(n - i, m - j)
-                keep.append(len(i) >= min(ask, want) and room.min(initial=1 << 62) >= _least(n, m, percent))
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                (u, i), (v, j) = np.unique(x, return_index=True), np.unique(y, return_index=True)
+                _, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                ok, both = _admitted(np.int64(n), i[p], ask, np.int64(m), j[q], want, percent)
+                twins = len(x) - len(u) + len(y) - len(v)
+                keep.append(bool(np.count_nonzero(ok) + twins >= both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _similar(percent: int):
+def _similar(size: int, percent: int):
+    """Pairs whose whole sets are similar; texts come compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("shingles_a").to_pylist(), b.column("shingles_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, "text_a"):
+                codec = pa.Codec("zstd")
+                left, right = (shingle_sets(pa.array([codec.decompress(t, n, asbytes=True) for t, n in zip(b.column(f"text_{x}").to_pylist(), b.column(f"bytes_{x}").to_pylist(), strict=True)], pa.binary()).cast(pa.string()), size) for x in "ab")
+                keep = []
+                for x, y in zip(left, right, strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -495,7 +518,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     def verified(pairs: DataFrame, counted: bool) -> DataFrame:
         """The pairs that are similar; `counted`: their shared prefix shingles have been counted.
 
-        Each node's prefix and set are made once. Of a pair, the node that is in more pairs is the hub:
+        Each node's prefix is made and its text packed once. Of a pair, the node that is in more pairs is the hub:
         a copy of what it holds goes to each FOLLOWERS of its partners, so no hub is one task's."""
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count("*").alias("pairs"))
         members = materialised(ends.join(nodes, "node").select("node", "pairs", F.xxhash64(id_col).alias("key")), "candidates")
@@ -503,22 +526,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         page = spark.sparkContext.broadcast(_filter_bits(members, "key", bits))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            order, seen = _Order(heavy.value, percent), set()
+            order, seen, codec = _Order(heavy.value, percent), set(), pa.Codec("zstd")
             for whole in batches:
                 cell = whole.column(0).to_numpy() & ((1 << bits) - 1)
                 hit = (page.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
                 for b in slices(whole.filter(pa.array(hit)), 1):
                     rows = []
-                    for key, s in zip(b.column(0).to_pylist(), shingle_sets(_lower(texts(b, 1)), size), strict=True):
+                    text = _lower(texts(b, 1))
+                    for key, s, t in zip(b.column(0).to_pylist(), shingle_sets(text, size), text.cast(pa.binary()).to_pylist(), strict=True):
                         if len(s) and (name := (key, _node(s))) not in seen:
                             seen.add(name)
                             prefix, _, ask = order.prefix(s)
-                            rows.append((*name, len(s), ask, prefix.tobytes(), s.tobytes()))
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "node", "n", "ask", "prefix", "shingles"])
+                            rows.append((*name, len(s), ask, prefix.astype("<u4").tobytes(), codec.compress(t, asbytes=True), len(t)))
+                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "node", "n", "ask", "prefix", "text", "bytes"])
 
-        picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(pick, "key bigint, node binary, n int, ask int, prefix binary, shingles binary")
+        picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(pick, "key bigint, node binary, n int, ask int, prefix binary, text binary, bytes int")
         whole = materialised(picked, "candidate-sets")  # a task's copies of a node are one; another task's make a pair come twice
         a, b = (members.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
@@ -531,13 +555,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             held = whole.select("node", "key", *columns)
             f, h = (held.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
             hubs = keyed.select("b", "kb", "salt").distinct().join(h, ["b", "kb"])
-            return keyed.join(f, ["a", "ka"]).join(hubs, ["b", "kb", "salt"]).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns]).mapInArrow(check(percent), "a binary, b binary")
+            return keyed.join(f, ["a", "ka"]).join(hubs, ["b", "kb", "salt"]).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns]).mapInArrow(check(size, percent), "a binary, b binary")
 
         if not counted:
             keyed = materialised(keyed, "hub-pairs")
             admitted = materialised(meet(keyed, ["n", "ask", "prefix"], _multi_match).distinct(), "admitted-pairs")
             keyed = keyed.join(admitted, ["a", "b"], "left_semi")
-        return meet(keyed, ["shingles"], _similar)
+        return meet(keyed, ["text", "bytes"], _similar)
 
     led = materialised(shared.mapInArrow(_leaders(percent), "a binary, b binary, token bigint, n bigint, pos bigint"), "led")
     parts = led.where("b is null").select("a", "token", "n", "pos")

@@ -12,6 +12,7 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -86,7 +87,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], tuple[int, ...], tuple]]:
     """Looser spans that touch no base span: the span, each labeler's vote (1 personal, 0 not, -1 none), features."""
     taken = sorted((s, e) for s, _, e in base)
-    ends = 0
+    if any(x[1] > y[0] for x, y in zip(taken, taken[1:])):  # base kinds may overlap: join them, so that ends are in order too
+        joined: list[tuple[int, int]] = []
+        for s, e in taken:
+            if joined and s < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+            else:
+                joined.append((s, e))
+        taken = joined
     for kind, pattern in ((4, _SECRET), (5, _NUMBER)):
         for m in pattern.finditer(text):
             s, e = m.span()
@@ -94,11 +102,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[tu
             digits = sum("0" <= c <= "9" for c in got)
             if kind == 4 and (digits < 4 or digits + got.count("-") == len(got)):
                 continue
-            if any(s < y and x < e for x, y in taken):
+            at = bisect_left(taken, (e,))  # spans from here on begin at e or later
+            if at and taken[at - 1][1] > s:
                 continue
             if kind == 4:
-                taken.append((s, e))
-            ends = max(ends, e)
+                taken.insert(at, (s, e))
             lead = text[max(0, s - 40) : s]
             word = _BEFORE.search(lead)
             word = word[1].lower() if word else ""
@@ -155,7 +163,7 @@ def fit(table: list[tuple[tuple[int, ...], tuple, int]], rounds: int = 400) -> d
     for i, (_, f, _) in enumerate(table):
         x[i, [place[n] for n in _names(f)]] = 1
     y, c = np.array([belief[tuple(v)] for v, _, _ in table]), np.array([n for _, _, n in table], float)
-    c = np.sqrt(c)
+    c = np.sqrt(c)  # a pattern's say grows with the root of its count, so a few very common ones don't decide alone
     c /= c.sum()
     w = np.zeros(len(names))
     for _ in range(rounds):

@@ -76,6 +76,85 @@ def test_classifier_edges(docs, corpus, nothing, clashing, spark):
     assert all(0 <= r.score <= 1 for r in classifier.score(docs, one).collect())
 
 
+def plain_score(text, weights):
+    """The dot product of all n-grams of a text with the weights, one by one."""
+    import numpy as np
+    import xxhash
+
+    words = [w for w in WORD.findall(text or "")]
+    mask, shift = (1 << 64) - 1, 64 - classifier.BITS
+    bucket = lambda h: (h * 0x9E3779B97F4A7C15 & mask) >> shift
+    low = [xxhash.xxh3_64_intdigest(w.lower()) for w in words]
+    outline = [xxhash.xxh3_64_intdigest(classifier._shape(w), 1) for w in words]
+    total = 0.0
+    for i in range(len(words)):
+        after = lambda h: h[i + 1] if i + 1 < len(words) else 0  # noqa: B023, E731
+        twice = low[i] == after(low)
+        grams = [bucket(low[i]), bucket((3 * low[i] + 7 * after(low)) & mask), bucket(outline[i]), bucket(11 if twice else (3 * outline[i] + 7 * after(outline)) & mask)]
+        total += sum(float(weights[g]) for g in grams)
+    return 1 / (1 + math.exp(-(total * 4 / math.sqrt(max(4 * len(words), 1)) + float(np.float64(weights[-1])))))
+
+
+def test_scores_are_dot_products(docs, corpus, spark):
+    """Against brute force, and the same in any company of other rows."""
+    weights = classifier.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"))
+    assert weights.any()
+    got = key((r.doc_id, round(r.score, 9)) for r in classifier.score(docs, weights).collect())
+    assert got == key((i, round(plain_score(t, weights), 9)) for i, t, *_ in corpus)
+    alone = {r.doc_id: r.score for r in classifier.score(docs.where("doc_id = 7"), weights).collect()}
+    assert alone[7] in {r.score for r in classifier.score(docs, weights).collect() if r.doc_id == 7}
+
+
+def test_updates_follow_the_regularised_leader(spark):
+    """One feature set by hand: the weights of one pass over two rows, computed step by step."""
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.01, 0.1
+    rows = [(1, "up up up", 1), (2, "down", 0)]
+    got = classifier.fit(spark.createDataFrame(rows, "order_key bigint, text string, label int"), epochs=1, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    import numpy as np
+    import pyarrow as pa
+
+    for _, text, y in rows:
+        flat, at = classifier.features(pa.array([text]))
+        x = {int(i): float(np.float32(c * 4 / math.sqrt(len(flat)))) for i, c in Counter(flat.tolist()).items()} | {1 << classifier.BITS: 1.0}
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g, w = (p - y) * v, weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+            n[i] += g * g
+    assert all(abs(float(got[i]) - weight(i)) < 1e-6 for i in z) and np.count_nonzero(got) <= len(z)
+
+
+def test_accepted_keeps_columns(clashing, docs, spark):
+    weights = classifier.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"))
+    kept = classifier.accepted(clashing, weights, 0.5)
+    assert kept.columns == clashing.columns
+    want = key((r.doc_id, r.score) for r in classifier.score(docs, weights).collect() if r.score >= 0.5)
+    assert key((r.doc_id,) for r in kept.select("doc_id").collect()) == key((i,) for i, _ in want)
+
+
+def test_pipeline_with_clashing_columns_and_without_rows(spark, clashing, nothing, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("clash", clashing), ("none", nothing)):
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path / name))
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / f"out{k}"))
+            docs = spark.read.parquet(str(tmp_path / name / f"out{k}")) if k < 4 else out
+            if k < 4 and name == "clash":
+                assert {r.node for r in docs.select("node").collect()} == {"x"}
+        assert (docs.count() == 0) == (name == "none")
+
+
 def test_held_out(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None,)], "doc_id bigint"))
     for r in ids.select("doc_id", classifier.held_out().alias("h")).collect():
@@ -126,6 +205,26 @@ def test_personal_data(docs, corpus, clashing, nothing):
     assert out.columns == clashing.columns and not any("@" in (r.text or "") for r in out.collect())
 
 
+def test_candidates_stay_clear_of_the_base():
+    """Against a plain test of every pair of spans, on texts with many of both."""
+    r = random.Random(12)
+    for _ in range(3000):
+        text = "".join(r.choice(["10.1.2.3 ", "a@b.c", "+1 555 010 9999", "4111 1111 1111 1111", "x", " ", "3f9a" * 5, "(12) 345 6789", "=", "9"]) for _ in range(r.randint(0, 14)))
+        base_found = pii.base_spans(text)
+        found = [s for s, _, _ in pii.candidates(text, base_found)]
+        for a, _, b in found:
+            assert not any(a < z and y < b for y, _, z in base_found)
+        plain = []
+        for kind, pattern in ((4, pii._SECRET), (5, pii._NUMBER)):
+            for m in pattern.finditer(text):
+                digits = sum(c.isdigit() for c in m[0])
+                if kind == 4 and (digits < 4 or digits + m[0].count("-") == len(m[0])):
+                    continue
+                if not any(m.start() < z and y < m.end() for y, _, z in [*base_found, *(p for p in plain if p[1] == 4)]):
+                    plain.append((m.start(), kind, m.end()))
+        assert found == plain
+
+
 def test_secrets_are_found(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = [r for r in pii.detect(docs, pii.train(docs)).collect() if "secret:" in r.spans]
