@@ -18,29 +18,40 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; a score of 0.3 exactly stays.
+
+    Null and empty texts have the bias's score. Repeated rows are judged alike, columns of any name stay.
+    """
     weights = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return classifier.score(docs, weights, carry=rest).where(F.col("score") >= 0.3).select(*docs.columns)
+    return classifier.accepted(docs, weights, 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the least id.
+
+    Documents without words (null or empty texts too) all stay; of equal rows one does.
+    """
     return jaccard.representatives(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in 35-word windows that also start elsewhere go from the texts."""
+    """Words in 35-word windows that also start elsewhere go from the texts; n_chars follows.
+
+    Null texts stay null; a row that comes twice repeats all of its windows.
+    """
     return substring_dedup.remove(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; n_chars follows. Null texts stay null, rows keep their number."""
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences of at most 2048 tokens."""
+    """Documents are packed into sequences of at most 2048 tokens; a null text is its end token alone.
+
+    An empty table gives no sequences.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
