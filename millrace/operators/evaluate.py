@@ -9,32 +9,59 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.routing import judge_overall
+from millrace.functions.stem import scored_words, stems
 from millrace.functions.text import tokens
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def grams(words: Column, n: int) -> Column:
-    """n-grams of an array of words, joined by blanks."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    """n-grams of an array of words, joined by blanks; each place takes its n words, so the cost is linear."""
+    if n == 1:
+        return words
+    return once(words, lambda w: F.slice(F.transform(w, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)])), 1, F.greatest(F.size(w) - (n - 1), F.lit(0))))
+
+
+def _words(pairs: DataFrame, keys: list[str], left: str, right: str, stem: bool) -> DataFrame:
+    """keys, l and r: both texts' words. Stemming is a vectorised function over them; without it all stays in the JVM."""
+    if stem:
+        found = pairs.select(*keys, scored_words(F.col(left)).alias("l"), scored_words(F.col(right)).alias("r"))
+        return found.select(*keys, stems("l").alias("l"), stems("r").alias("r"))
+    return pairs.select(*keys, tokens(F.col(left)).alias("l"), tokens(F.col(right)).alias("r"))
+
+
+def matches(pairs: DataFrame, most: int, keys: list[str], left: str = "answer", right: str = "reference", least: int = 1, stem: bool = False) -> DataFrame:
+    """keys, n_left, n_right (words) and m<n>, the clipped matches of n-grams, for n from least to most.
 
+    One pass: each text's words are found once, and all n-grams of both texts are counted together; a
+    count moves as one row for each task and n-gram.
+    """
+    cols = _words(pairs, keys, left, right, stem)
+    side = lambda c, n, a: F.transform(grams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(a).alias("a"), F.lit(1 - a).alias("b")))
+    every = F.concat(*[side(c, n, a) for n in range(least, most + 1) for c, a in (("l", 1), ("r", 0))])
+    flat = cols.select(*keys, F.size("l").cast("bigint").alias("n_left"), F.size("r").cast("bigint").alias("n_right"), F.explode_outer(every).alias("x"))
+    both = flat.groupBy(*keys, "n_left", "n_right", "x.n", "x.g").agg(F.least(F.sum("x.a"), F.sum("x.b")).alias("m"))
+    return both.groupBy(*keys, "n_left", "n_right").agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("m"))), F.lit(0)).alias(f"m{n}") for n in range(least, most + 1)])
 
-def overlap(pairs: DataFrame, n: int, keys: list[str], left: str = "answer", right: str = "reference") -> DataFrame:
-    """keys, matches (clipped), n_left, n_right of the pairs' n-grams: two counts and a join, no cross product."""
-    cols = pairs.select(*keys, grams(tokens(F.col(left)), n).alias("l"), grams(tokens(F.col(right)), n).alias("r"))
-    sizes = cols.select(*keys, F.size("l").cast("bigint").alias("n_left"), F.size("r").cast("bigint").alias("n_right"))
-    sides = cols.select(*keys, F.explode(F.concat(F.transform("l", lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    clipped = sides.groupBy(*keys, "x.g").agg(F.least(F.sum("x.a"), F.sum("x.b")).alias("m")).groupBy(*keys).agg(F.sum("m").alias("matches"))
-    return sizes.join(clipped, keys, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
+def rouge_n(pairs: DataFrame, n: int, keys: list[str], digits: int = 4, stem: bool = False) -> DataFrame:
+    """keys, p, r, f: precision, recall and their harmonic mean. `stem` compares stems of words of a-z and 0-9."""
+    o = matches(pairs, n, keys, least=n, stem=stem).withColumns({x: F.greatest(F.col(x) - (n - 1), F.lit(0)) for x in ("n_left", "n_right")})
+    return _balanced(o, F.col(f"m{n}"), keys, digits)
 
-def rouge_n(pairs: DataFrame, n: int, keys: list[str], digits: int = 4) -> DataFrame:
-    """keys, p, r, f: precision, recall and their harmonic mean."""
-    o = overlap(pairs, n, keys)
-    p, r = F.when(F.col("n_left") > 0, F.col("matches") / F.col("n_left")).otherwise(0.0), F.when(F.col("n_right") > 0, F.col("matches") / F.col("n_right")).otherwise(0.0)
-    return o.select(*keys, F.round(p, digits).alias("p"), F.round(r, digits).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), digits).alias("f"))
 
+def _balanced(counts: DataFrame, m: Column, keys: list[str], digits: int) -> DataFrame:
+    p, r = (F.when(F.col(c) > 0, m / F.col(c)).otherwise(0.0) for c in ("n_left", "n_right"))
+    return counts.select(*keys, F.round(p, digits).alias("p"), F.round(r, digits).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), digits).alias("f"))
 
-def rouge_l(pairs: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+
+def rouge_l(pairs: DataFrame, keys: list[str], digits: int = 4, stem: bool = False) -> DataFrame:
     """Longest common subsequence of words: a pandas function, a row of the table at a time in numpy."""
+
     @F.pandas_udf("bigint")
     def common(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -48,16 +75,15 @@ def rouge_l(pairs: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
             out.append(int(row[-1]))
         return pd.Series(out)
 
-    cols = pairs.select(*keys, tokens(F.col("answer")).alias("a"), tokens(F.col("reference")).alias("b"))
-    m = cols.withColumn("m", common("a", "b"))
-    p, r = F.when(F.size("a") > 0, F.col("m") / F.size("a")).otherwise(0.0), F.when(F.size("b") > 0, F.col("m") / F.size("b")).otherwise(0.0)
-    return m.select(*keys, F.round(p, digits).alias("p"), F.round(r, digits).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), digits).alias("f"))
+    cols = _words(pairs, keys, "answer", "reference", stem)
+    sized = cols.select(*keys, F.size("l").alias("n_left"), F.size("r").alias("n_right"), common("l", "r").alias("m"))
+    return _balanced(sized, F.col("m"), keys, digits)
 
 
 def bleu(pairs: DataFrame, keys: list[str], most: int = 4, smooth: float = 0.1, digits: int = 4) -> DataFrame:
     """keys, bleu_1 to bleu_<most>: smoothed precisions (a missing match counts `smooth`) and brevity penalty."""
-    parts = [overlap(pairs, n, keys).select(*keys, F.col("matches").alias(f"m{n}"), F.col("n_left").alias(f"l{n}"), *([F.col("n_left").alias("words"), F.col("n_right").alias("ref")] if n == 1 else [])) for n in range(1, most + 1)]
-    all_n = reduce(lambda a, b: a.join(b, keys), parts)
+    all_n = matches(pairs, most, keys).withColumns({"words": F.col("n_left"), "ref": F.col("n_right")})
+    all_n = all_n.withColumns({f"l{n}": F.greatest(F.col("n_left") - (n - 1), F.lit(0)) for n in range(1, most + 1)})
     precision = [F.when(F.col(f"l{n}") == 0, F.lit(0.0)).when(F.col(f"m{n}") == 0, F.lit(smooth) / F.col(f"l{n}")).otherwise(F.col(f"m{n}") / F.col(f"l{n}")) for n in range(1, most + 1)]
     penalty = F.when(F.col("words") >= F.col("ref"), 1.0).when(F.col("words") > 0, F.exp(1 - F.col("ref") / F.col("words"))).otherwise(0.0)
     out = []
@@ -105,6 +131,17 @@ def last_answers(answers: DataFrame, order: str) -> DataFrame:
     return answers.withColumn("_n", F.row_number().over(Window.partitionBy(q).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n").withColumn("question", q)
 
 
+def judged(rows: DataFrame, judges: dict, question: str = "question", answer: str = "answer", context: str = "context", most_chars: int = 6000) -> DataFrame:
+    """A batch of answers judged: a column of scores for each dimension, and the weighted `overall`.
+
+    judges: dimension -> column function (question, answer, context) -> double, vectorised; contexts are cut to
+    most_chars for the prompt. All dimensions are judged in one pass over the rows.
+    """
+    q, a, c = F.col(question), F.col(answer), F.substring(context, 1, most_chars)
+    scored = rows.withColumns({name: f(q, a, c) for name, f in judges.items()})
+    return scored.withColumn("overall", judge_overall({name: F.col(name) for name in judges}))
+
+
 def testset(chunks: DataFrame, n: int, seed: int = 0, least_words: int = 30, chars: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n chunks of enough words in an order that a seeded hash decides; contents are cut for the prompt."""
     big = chunks.where(F.size(F.filter(F.split(text_col, r"\s+"), lambda w: w != "")) >= least_words)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.scratch import shared_folder, written
+
 ROWS_A_CHUNK, MOST_VALUES, SHOWN_VALUES = 10_000, 20, 8
 
 
@@ -67,8 +69,9 @@ def top_values(df: DataFrame, most: int = MOST_VALUES) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Row numbers from 0 in a total order without one task for all rows: the rows are range-partitioned,
-    and each adds the count of the partitions before it."""
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    and each adds the count of the partitions before it. The dealt rows are written first: bounds are
+    sampled, so dealing them twice could cut ties differently."""
+    part = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     counts = part.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_f"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return part.join(before.select("_p", "_b", "_f"), "_p").withColumn("row_number", F.col("_b") + F.col("_m") - F.col("_f")).drop("_p", "_m", "_b", "_f")
@@ -150,7 +153,7 @@ def descendants(folders: DataFrame, root: object, depth: int | None = None) -> D
     so the levels end. Levels are checkpointed, so that plans don't grow with the tree."""
     context = folders.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folders.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(folders.sparkSession))
     level = folders.where(F.col("parent_id") == root).select("folder_id", F.lit(1).cast("bigint").alias("depth")).checkpoint()
     found, k = level, 1
     while (depth is None or k < depth) and level.limit(1).count():

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
-from millrace.functions.vectors import dot
+from millrace.operators import search
+from millrace.sources.scratch import written
 
 #: Saturation and length normalisation of term weights; constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
 GLOBAL_OWNER = "__global__"
-#: Query vectors that one plan carries; larger batches become several plans.
-VECTORS_A_PLAN = 256
+#: Distinct query terms up to which document frequencies are counted for them alone.
+FEW_TERMS = 50_000
 
 
 def payload_filter(wanted: dict) -> Column:
@@ -59,43 +60,30 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """q_id, id, score and rk of each query's k best documents; queries has q_id and text.
 
-    Only the queries' terms are counted: documents' words are joined with the distinct query terms
-    before anything is shuffled. Terms of a query are weighted by the same saturation, over its own length.
+    The corpus is read twice: for document frequencies (one aggregation whose map side combines) and for the
+    scores, where queries come to the documents. Terms of a query are weighted by the same saturation, over
+    its own length. Documents that share no term with a query aren't ranked.
     """
-    stats = corpus_statistics(docs, text_col)
+    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("w"))
     asked = queries.select("q_id", tokens(F.col("text")).alias("w")).select("q_id", F.size("w").alias("ql"), F.explode("w").alias("term")).groupBy("q_id", "ql", "term").agg(F.count("*").alias("qtf"))
+    asked = written(asked, "asked")
     terms = asked.select("term").distinct()
-    found = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("w")).select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term")
-    postings = found.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(frequency, "term").crossJoin(stats)  # one row of statistics
-    parts = postings.join(weighed, "term").withColumn("part", inverse_frequency(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("avg_dl")) * saturated(F.col("qtf"), F.col("ql"), F.col("avg_dl")))
-    scored = parts.groupBy("q_id", id_col).agg(F.round(F.sum("part"), digits).alias("score"))
-    return top(scored, "q_id", [F.col("score").desc(), F.col(id_col)], k)
-
-
-def top(rows: DataFrame, key: str, order: list[Column], k: int, name: str = "rk") -> DataFrame:
-    """The first k of each key, numbered."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")).where(F.col(name) <= k)
-
-
-def dense(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, wanted: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, exclude_self: bool = False) -> DataFrame:
-    """q_id, id, sim and rk of the k most similar unit vectors of each query.
-
-    The filter comes first, so that k matching rows are ranked. Queries are few and travel inside the
-    plan as literals; the corpus is neither collected nor shuffled, only each query's best rows are.
-    """
-    if not queries:
-        raise ValueError("no query vectors")
-    base = vectors if wanted is None else vectors.where(wanted)
-    out = []
-    for at in range(0, len(queries), VECTORS_A_PLAN):
-        asked = F.array(*[F.struct(F.lit(q).cast("bigint").alias("q_id"), F.array(*map(F.lit, map(float, v))).alias("q")) for q, v in queries[at : at + VECTORS_A_PLAN]])
-        pairs = base.select(F.col(id_col), F.col(vector_col).alias("_v"), F.explode(asked).alias("_q")).select(F.col("_q.q_id").alias("q_id"), id_col, F.round(dot(F.col("_v"), F.col("_q.q")), digits).alias("sim"))
-        if exclude_self:
-            pairs = pairs.where(F.col("q_id") != F.col(id_col))
-        out.append(top(pairs, "q_id", [F.col("sim").desc(), F.col(id_col)], k))
-    return reduce(DataFrame.unionByName, out)
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    # a marker without a term carries the lengths, so that one pass gives both statistics
+    marked = words.select(F.explode(F.concat(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.when(F.size("w") > 0, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("dl")))).otherwise(F.array()))).alias("x")).select("x.*")
+    if few:  # FEW_TERMS at most; more terms are looked up after the aggregation
+        marked = marked.join(F.broadcast(terms.withColumn("_asked", F.lit(True))), "term", "left").where(F.col("term").isNull() | F.col("_asked"))
+    frequency = written(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total")), "frequency")
+    whole = frequency.where("term is null").first()
+    if whole is None:
+        return queries.sparkSession.createDataFrame([], f"q_id bigint, `{id_col}` {dict(docs.dtypes)[id_col]}, score double, rk bigint")
+    n, average = whole.df, whole.total / whole.df
+    weight = inverse_frequency(F.lit(n), F.col("df")) * saturated(F.col("qtf"), F.col("ql"), F.lit(average))
+    weighed = asked.join(frequency.where("term is not null"), "term").select("q_id", "term", weight.alias("weight"))
+    return search.lexical(words, weighed, average, k, saturated, id_col, digits)
+
+
+top, dense = search.top, search.dense
 
 
 def fuse(lists: list[DataFrame], id_col: str, limit: int, rrf_k: int = RRF_K, digits: int = 6) -> DataFrame:

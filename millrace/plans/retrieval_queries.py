@@ -8,8 +8,8 @@ from millrace.operators import context, retrieval
 from millrace.plans.registry import query, table
 
 TERMS = ["the", "and", "of"]
-#: Query vectors of the dense queries, by id.
-ASKED = (0, 1, 2)
+#: Searches ask for every row whose id is divisible by this, against all rows.
+EVERY = 50
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
@@ -21,10 +21,10 @@ def _question(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "q_id bigint, text string")
 
 
-def _vectors(spark, d, ids=ASKED):
+def _vectors(spark, d):
+    """All vectors, and those that are queries."""
     v = table(spark, d, "embeddings")
-    rows = v.where(F.col("vec_id").isin(list(ids))).select("vec_id", "embedding").collect()  # a handful, named by id
-    return v, [(r.vec_id, r.embedding) for r in sorted(rows)]
+    return v, v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
 
 
 _DOC_TERMS = f"toks AS (SELECT doc_id, lang, source, {_TOKENS} AS w FROM documents), tf AS (SELECT doc_id, lang, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, lang, w, unnest(w) AS term FROM toks) GROUP BY ALL)"
@@ -55,7 +55,7 @@ def _sim(a: str, b: str) -> str:
     return f"round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
 
-_DENSE = f"""dq AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),
+_DENSE = f"""dq AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT q_id, vec_id, {_sim("e.embedding", "q")} AS sim FROM embeddings e, dq WHERE e.vec_id <> q_id),
 dr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rk FROM ds)"""
 
@@ -66,9 +66,9 @@ def dense_topk(spark, d):
     return retrieval.dense(v, asked, 10, exclude_self=True)
 
 
-_HYBRID = f"""WITH {_DOC_TERMS}, {_STATS}, {_DENSE}, bq AS (SELECT doc_id AS q_id, term, tf AS qtf, dl AS ql FROM tf WHERE doc_id IN (0, 1, 2)),
+_HYBRID = f"""WITH {_DOC_TERMS}, {_STATS}, {_DENSE}, bq AS (SELECT doc_id AS q_id, term, tf AS qtf, dl AS ql FROM tf WHERE doc_id % 50 = 0),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT q_id, doc_id, round(sum({_BM25_PART}), 6) AS score FROM tf JOIN bq USING (term) JOIN df USING (term), st %s GROUP BY q_id, doc_id),
+sc AS (SELECT q_id, doc_id, round(sum({_BM25_PART}), 6) AS score FROM tf JOIN bq USING (term) JOIN df USING (term), st GROUP BY q_id, doc_id),
 sp AS (SELECT q_id, doc_id AS id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rk FROM sc),
 al AS (SELECT q_id, vec_id AS id, rk FROM dr WHERE rk <= 40 UNION ALL SELECT q_id, id, rk FROM sp WHERE rk <= 40),
 fu AS (SELECT q_id, id, round(sum(1 / (60::DOUBLE + rk)), 6) AS rrf FROM al GROUP BY q_id, id),
@@ -78,18 +78,18 @@ fr AS (SELECT q_id, id, rrf, row_number() OVER (PARTITION BY q_id ORDER BY rrf D
 def _lists(spark, d, wanted=None):
     docs = _docs(spark, d)
     v, asked = _vectors(spark, d)
-    questions = docs.where(F.col("doc_id").isin(list(ASKED))).select(F.col("doc_id").alias("q_id"), "text")
+    questions = docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q_id"), "text")
     lexical = retrieval.bm25(docs, questions, 40).select("q_id", F.col("doc_id").alias("id"), "rk", "score")
     dense = retrieval.dense(v, asked, 40, wanted, exclude_self=True).select("q_id", F.col("vec_id").alias("id"), "rk", "sim")
     return dense, lexical
 
 
-@query("hybrid_rrf", f"{_HYBRID % ''} SELECT q_id, id, rrf, rk FROM fr WHERE rk <= 10")
+@query("hybrid_rrf", f"{_HYBRID} SELECT q_id, id, rrf, rk FROM fr WHERE rk <= 10")
 def hybrid_rrf(spark, d):
     return retrieval.fuse(list(_lists(spark, d)), "id", 10)
 
 
-@query("hybrid_min_score", f"{_HYBRID % ''} SELECT q_id, id, rrf, rk FROM fr WHERE rk <= 10 AND rrf >= 0.0155::DOUBLE")
+@query("hybrid_min_score", f"{_HYBRID} SELECT q_id, id, rrf, rk FROM fr WHERE rk <= 10 AND rrf >= 0.0155::DOUBLE")
 def hybrid_min_score(spark, d):
     """The least score is tested after the limit, so fewer rows may come out."""
     return retrieval.fuse(list(_lists(spark, d)), "id", 10).where(F.col("rrf") >= 0.0155)
@@ -97,7 +97,7 @@ def hybrid_min_score(spark, d):
 
 @query(
     "dense_filtered",
-    f"WITH dq AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id IN (0, 1, 2)), ds AS (SELECT q_id, e.vec_id, {_sim('e.embedding', 'q')} AS sim FROM embeddings e JOIN documents x ON x.doc_id = e.vec_id, dq WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2')), dr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rk FROM ds) SELECT q_id, vec_id, sim, rk FROM dr WHERE rk <= 5",
+    f"WITH dq AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT q_id, e.vec_id, {_sim('e.embedding', 'q')} AS sim FROM embeddings e JOIN documents x ON x.doc_id = e.vec_id, dq WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2')), dr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rk FROM ds) SELECT q_id, vec_id, sim, rk FROM dr WHERE rk <= 5",
 )
 def dense_filtered(spark, d):
     v, asked = _vectors(spark, d)
@@ -105,24 +105,27 @@ def dense_filtered(spark, d):
     return retrieval.dense(v.join(payload, "vec_id"), asked, 5)
 
 
-@query("multi_query_max_merge", f"WITH {_DENSE} SELECT CAST(0 AS BIGINT) AS q_id, vec_id, max(sim) AS best FROM dr WHERE rk <= 20 GROUP BY vec_id")
+@query("multi_query_max_merge", f"WITH {_DENSE} SELECT q_id // 100 * 100 AS q_id, vec_id, max(sim) AS best FROM dr WHERE rk <= 20 GROUP BY 1, 2")
 def multi_query_max_merge(spark, d):
+    """Query rows 100 n and 100 n + 50 are one question's two sub-queries."""
     v, asked = _vectors(spark, d)
-    hits = retrieval.dense(v, asked, 20, exclude_self=True).withColumn("sub", F.col("q_id")).withColumn("q_id", F.lit(0).cast("bigint"))
+    hits = retrieval.dense(v, asked, 20, exclude_self=True).withColumn("sub", F.col("q_id")).withColumn("q_id", F.col("q_id") - F.col("q_id") % 100)
     return retrieval.merge_best([hits], "vec_id", "sim")
 
 
 @query(
     "multihop_merge",
-    f"""WITH {_DENSE}, a AS (SELECT vec_id, rk FROM dr WHERE q_id = 0 AND rk <= 5), b AS (SELECT q_id AS sub, vec_id, rk FROM dr WHERE q_id <> 0 AND rk <= 3 AND vec_id NOT IN (SELECT vec_id FROM a)),
-c AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sub, rk) AS k FROM b), e AS (SELECT vec_id, row_number() OVER (ORDER BY sub, rk) AS rk FROM c WHERE k = 1)
-SELECT CAST(0 AS BIGINT) AS q_id, vec_id, CAST(1 AS BIGINT) AS hop, rk FROM a UNION ALL SELECT 0, vec_id, 2, rk FROM e""",
+    f"""WITH {_DENSE}, a AS (SELECT q_id, vec_id, rk FROM dr WHERE q_id % 100 = 0 AND rk <= 5),
+b AS (SELECT q_id - 50 AS q_id, q_id AS sub, vec_id, rk FROM dr WHERE q_id % 100 = 50 AND rk <= 3 AND NOT EXISTS (SELECT 1 FROM a WHERE a.q_id = dr.q_id - 50 AND a.vec_id = dr.vec_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY q_id, vec_id ORDER BY sub, rk) AS k FROM b), e AS (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY sub, rk) AS rk FROM c WHERE k = 1)
+SELECT q_id, vec_id, CAST(1 AS BIGINT) AS hop, rk FROM a UNION ALL SELECT q_id, vec_id, 2, rk FROM e""",
 )
 def multihop_merge(spark, d):
+    """Query row 100 n is a question, row 100 n + 50 its second hop."""
     v, asked = _vectors(spark, d)
     hits = retrieval.dense(v, asked, 5, exclude_self=True)
-    first = hits.where("q_id = 0").select("q_id", "vec_id", "rk")
-    second = hits.where("q_id <> 0").select(F.lit(0).cast("bigint").alias("q_id"), F.col("q_id").alias("sub"), "vec_id", "rk")
+    first = hits.where("q_id % 100 = 0").select("q_id", "vec_id", "rk")
+    second = hits.where("q_id % 100 = 50").select((F.col("q_id") - 50).alias("q_id"), F.col("q_id").alias("sub"), "vec_id", "rk")
     return retrieval.multihop(first, second, "vec_id", 3)
 
 
@@ -137,11 +140,11 @@ def _indexed(spark, d):
 
 @query(
     "neighbors_w1",
-    f"WITH {_INDEXED} SELECT a.doc_id AS anchor, b.doc_id AS neighbour, b.chunk_index - a.chunk_index AS delta FROM ix a JOIN ix b ON a.source = b.source AND abs(a.chunk_index - b.chunk_index) = 1 WHERE a.chunk_index % 5 = 0",
+    f"WITH {_INDEXED} SELECT a.doc_id AS anchor, b.doc_id AS neighbour, b.chunk_index - a.chunk_index AS delta FROM ix a JOIN ix b ON a.source = b.source AND abs(a.chunk_index - b.chunk_index) = 1",
 )
 def neighbors_w1(spark, d):
     ix = _indexed(spark, d)
-    return retrieval.neighbours(ix.where("chunk_index % 5 = 0"), ix, 1)
+    return retrieval.neighbours(ix, ix, 1)
 
 
 _MMR = f"""WITH {_DENSE}, c AS (SELECT q_id, vec_id, sim, rk, sim / max(sim) OVER (PARTITION BY q_id) AS rel, embedding FROM dr JOIN embeddings USING (vec_id) WHERE rk <= 20),
@@ -183,12 +186,20 @@ def union_own_global(spark, d):
     return union_by_source(docs.where(F.col("source").isin("src1", "src2")), docs.where("lang = 'fr'")).select("doc_id")
 
 
-@query("flatten_neighbours", f"WITH {_INDEXED}, p AS (SELECT source, doc_id, chunk_index FROM ix WHERE chunk_index % 10 = 1), x AS (SELECT b.source, b.doc_id FROM p JOIN ix b ON b.source = p.source AND abs(b.chunk_index - p.chunk_index) BETWEEN 1 AND 2) SELECT source, doc_id, true AS \"primary\" FROM p UNION ALL SELECT DISTINCT source, doc_id, false FROM x WHERE doc_id NOT IN (SELECT doc_id FROM p)")
+@query(
+    "flatten_neighbours",
+    f"""WITH {_DENSE}, {_INDEXED}, p AS (SELECT q_id, source, doc_id, chunk_index FROM dr JOIN ix ON doc_id = vec_id WHERE rk <= 3),
+x AS (SELECT DISTINCT p.q_id, b.doc_id FROM p JOIN ix b ON b.source = p.source AND abs(b.chunk_index - p.chunk_index) BETWEEN 1 AND 2)
+SELECT q_id, doc_id, true AS "primary" FROM p UNION ALL SELECT q_id, doc_id, false FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.q_id = x.q_id AND p.doc_id = x.doc_id)""",
+)
 def flatten_neighbours(spark, d):
+    """The three best hits of each query row, and what stands beside them."""
     ix = _indexed(spark, d)
-    anchors = ix.where("chunk_index % 10 = 1")
-    near = retrieval.neighbours(anchors, ix, 2).join(ix, F.col("neighbour") == F.col("doc_id")).select("source", "doc_id", "chunk_index")
-    return retrieval.flatten(anchors, near, "source", "doc_id", "chunk_index").select("source", "doc_id", "primary")
+    v, asked = _vectors(spark, d)
+    hits = retrieval.dense(v, asked, 3, exclude_self=True).select("q_id", F.col("vec_id").alias("doc_id")).join(ix, "doc_id")
+    near = retrieval.neighbours(hits.select("doc_id", "source", "chunk_index").distinct(), ix, 2)
+    extra = hits.select("q_id", F.col("doc_id").alias("anchor")).join(near, "anchor").select("q_id", F.col("neighbour").alias("doc_id")).join(ix, "doc_id")
+    return retrieval.flatten(hits, extra, "q_id", "doc_id", "chunk_index").select("q_id", "doc_id", "primary")
 
 
 @query("context_order", f"WITH {_DENSE} SELECT q_id, CAST(vec_id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY (rk <= 5) DESC, CASE WHEN rk % 2 = 0 THEN 2 ELSE 1 END, sim DESC, CAST(vec_id AS VARCHAR)) AS pos FROM dr WHERE rk <= 12")
@@ -199,9 +210,16 @@ def context_order(spark, d):
     return context.ordered(chunks).select("q_id", "chunk_id", "pos")
 
 
-@query("context_budget")
+@query(
+    "context_budget",
+    """WITH RECURSIVE c AS (SELECT source AS q_id, doc_id, greatest(1, CAST(floor(length(text) / 3.8::DOUBLE) AS BIGINT)) AS t FROM documents),
+d AS (SELECT q_id, doc_id, CASE WHEN t > 4000 THEN 4020 ELSE t END + 15 AS cost, row_number() OVER (PARTITION BY q_id ORDER BY doc_id) AS n FROM c),
+f AS (SELECT q_id, n, doc_id, cost, cost AS used, true AS kept FROM d WHERE n = 1
+UNION ALL SELECT d.q_id, d.n, d.doc_id, d.cost, CASE WHEN f.used + d.cost <= 8000 THEN f.used + d.cost ELSE f.used END, f.used + d.cost <= 8000 FROM f JOIN d ON d.q_id = f.q_id AND d.n = f.n + 1)
+SELECT q_id, CAST(doc_id AS VARCHAR) AS chunk_id, doc_id AS pos, CAST(cost AS BIGINT) AS cost FROM f WHERE kept""",
+)
 def context_budget(spark, d):
-    """Greedy fill with skips: sequential, so its test restates it."""
+    """Greedy fill with skips."""
     docs = _docs(spark, d).select(F.col("source").alias("q_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.greatest(F.lit(1), F.floor(F.length("text") / 3.8)).cast("bigint").alias("token_count"), F.col("doc_id").alias("pos"))
     return context.fill_budget(docs, 8000)
 
