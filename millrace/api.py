@@ -5,7 +5,9 @@ State lives in versioned tables below a root folder; every read gives a DataFram
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from millrace.models import embedding, hashing_embedder
 from millrace.operators import chunking, cleaning, evaluate, layout, memory, profile, retrieval
 from millrace.plans.engine import Engine, Result
 from millrace.sources import files
-from millrace.sources.store import Table
+from millrace.sources.store import Results, Table
 
 
 def _within(name: str, value: float, low: float, high: float) -> None:
@@ -31,6 +33,7 @@ class Workspace:
         self.model = embed(dimensions)
         self.chunks = self._table("chunks", "chunk_id")
         self.messages, self.facts, self.feedback_rows = self._table("messages", "message_id"), self._table("facts", "fact_id"), self._table("feedback", "feedback_id")
+        self.preference_rows, self.results = self._table("preferences", "preference_id"), Results(spark, f"{self.root}/results")
 
     def _table(self, name: str, key: str) -> Table:
         return Table(self.spark, f"{self.root}/{name}", key)
@@ -74,9 +77,12 @@ class Workspace:
     def delete(self, source: str, owner: str = retrieval.GLOBAL_OWNER) -> str:
         return self.chunks.delete((F.col("source") == source) & (F.col("owner_id") == owner))
 
-    def search(self, question: str, limit: int = 10, prefetch: int = 40, min_score: float = 0.0, filters: dict | None = None, user: str | None = None, admin: bool = False, window: int = 0) -> DataFrame:
+    def search(self, question: str, limit: int = 10, prefetch: int = 40, min_score: float = 0.0, filters: dict | None = None, user: str | None = None, admin: bool = False, window: int = 0, decompose: Callable[[str], list[str]] | None = None, imagine: Callable[[str], str] | None = None) -> DataFrame:
         """Hybrid search: filter, then dense and lexical candidates, fused, limited, and cut at min_score. A window
-        adds the neighbours of each hit (is_primary tells them apart)."""
+        adds the neighbours of each hit (is_primary tells them apart).
+
+        decompose turns the question into sub-questions, whose hits are merged by their best score; imagine
+        writes the passage whose vector is searched instead of the question's (words stay the question's)."""
         _within("limit", limit, 1, 100)
         _within("window", window, 0, 5)
         _within("min_score", min_score, 0, 1)
@@ -84,10 +90,16 @@ class Workspace:
         wanted: Column = retrieval.payload_filter(filters or {}) & retrieval.visible_to(user, admin)
         rows = self.chunks.read().where(wanted)
         k = max(prefetch, limit)
-        dense = retrieval.dense(rows, [(0, self.model([question])[0])], k, id_col="chunk_id").select("q_id", "chunk_id", "rk")
-        asked = self.spark.createDataFrame([(0, question)], "q_id bigint, text string")
+        parts = (decompose(question) if decompose else None) or [question]
+        vectors = self.model([imagine(p) if imagine else p for p in parts])
+        dense = retrieval.dense(rows, list(enumerate(vectors)), k, id_col="chunk_id").select("q_id", "chunk_id", "rk")
+        asked = self.spark.createDataFrame(list(enumerate(parts)), "q_id bigint, text string")
         lexical = retrieval.bm25(rows, asked, k, "chunk_id", "content").select("q_id", "chunk_id", "rk")
-        hits = retrieval.fuse([dense, lexical], "chunk_id", limit).where(F.col("rrf") >= min_score)
+        hits = retrieval.fuse([dense, lexical], "chunk_id", limit)
+        if len(parts) > 1:
+            best = hits.groupBy("chunk_id").agg(F.max("rrf").alias("rrf")).withColumn("q_id", F.lit(0).cast("bigint"))
+            hits = retrieval.top(best, "q_id", [F.col("rrf").desc(), F.col("chunk_id")], limit)
+        hits = hits.where(F.col("rrf") >= min_score)
         found = rows.join(hits.select("chunk_id", F.col("rrf").alias("score"), "rk"), "chunk_id").withColumn("is_primary", F.lit(True))
         if window:
             near = retrieval.neighbours(found, rows, window, "doc_id", "chunk_index", "chunk_id").select(F.col("neighbour").alias("chunk_id")).distinct().join(found.select("chunk_id"), "chunk_id", "left_anti")
@@ -127,6 +139,40 @@ class Workspace:
     def facts_of(self, user_id: str) -> DataFrame:
         return memory.facts_of(self.facts.read().where(F.col("user_id") == user_id))
 
+    def prefer(self, user_id: str, text: str) -> str:
+        """Remember a preference; the same text of a user again is the same row. Returns its id."""
+        name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{user_id}::{text}"))
+        row = self.spark.createDataFrame([(name, user_id, text)], "preference_id string, user_id string, text string")
+        self.preference_rows.upsert(row.withColumns({"updated_at": F.current_timestamp(), "embedding": self.embed(F.col("text"))}))
+        return name
+
+    def preferences(self, user_id: str, question: str | None = None, limit: int = 100) -> DataFrame:
+        """A user's preferences, newest first, or those nearest to a question."""
+        mine = self.preference_rows.read().where(F.col("user_id") == user_id)
+        if question is None:
+            return layout.page_of(mine.drop("embedding"), [F.col("updated_at").desc(), F.col("preference_id")], limit)
+        near = retrieval.dense(mine, [(0, self.model([question])[0])], limit, id_col="preference_id")
+        return mine.drop("embedding").join(near.select("preference_id", "sim", "rk"), "preference_id").orderBy("rk")
+
+    def forget(self, user_id: str, preference_id: str) -> str:
+        return self.preference_rows.delete((F.col("user_id") == user_id) & (F.col("preference_id") == preference_id))
+
+    def events(self, question: str, answer: Callable[[str, list], Iterator[str]], **search) -> Iterator[tuple[str, object]]:
+        """An answer in stages, as a service would stream it: sources, token by token, confidence, done - or error."""
+        try:
+            hits = self.search(question, **search).orderBy(F.col("is_primary").desc(), "rk").select("chunk_id", "source", "content", "score").collect()  # `limit` rows and their neighbours
+            yield "sources", [{"chunk_id": h.chunk_id, "source": h.source, "score": h.score} for h in hits]
+            said = []
+            for token in answer(question, hits):
+                said.append(token)
+                yield "token", token
+            known = {w for h in hits for w in re.findall(r"\w+", h.content.lower())}
+            words = set(re.findall(r"\w+", "".join(said).lower()))
+            yield "eval", {"confidence": round(len(words & known) / len(words), 4) if words else 0.0}
+            yield "done", "".join(said)
+        except Exception as e:
+            yield "error", str(e).splitlines()[0]
+
     # feedback
     def rate(self, feedback_id: str, rating: int, escalated: bool = False, confidence: float | None = None, intent: str = "general", verdict: str = "unknown") -> str:
         _within("rating", rating, -1, 1)

@@ -50,6 +50,31 @@ def escalation(explicit: Column, intent: Column, no_answer: Column, verdict: Col
     )
 
 
+#: Words that decide an intent, in order, when no model is plugged in.
+INTENT_WORDS = {
+    "escalation_request": r"(?i)\b(human|agent|supervisor|representative|real person)\b",
+    "complaint": r"(?i)\b(complain|complaint|unacceptable|terrible|disappointed|angry)\b",
+    "billing": r"(?i)\b(invoice|bill|billing|refund|charge|charged|payment)\b",
+    "account": r"(?i)\b(account|login|password|sign in|profile)\b",
+    "troubleshooting": r"(?i)\b(error|broken|fails|failed|crash|not working)\b",
+    "how_to": r"(?i)\b(how (do|can|to)|steps|guide)\b",
+}
+
+
+def intent_of(text: Column) -> Column:
+    """The first intent whose words a message has, else general: the offline default of the classifier."""
+    out = F.lit("general")
+    for name, pattern in reversed(INTENT_WORDS.items()):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def grounding(answer_words: Column, context_words: Column) -> Column:
+    """Share of an answer's distinct words that its context has: the offline default of the confidence model."""
+    mine = F.array_distinct(answer_words)
+    return F.when(F.size(mine) > 0, F.round(F.size(F.array_intersect(mine, context_words)) / F.size(mine), 4)).otherwise(0.0)
+
+
 def known_intent(intent: Column) -> Column:
     return F.when(intent.isin(*INTENTS), intent).otherwise("general")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns whose matches must be the same as everywhere else. Java syntax.
 #: Markdown removed before embedding: (pattern, replacement), in order.
@@ -155,6 +159,38 @@ def table_slug(stem: Column) -> Column:
     return F.when(s == "", F.lit("t")).when(s.rlike("^[0-9]"), F.concat(F.lit("t_"), s)).otherwise(s)
 
 
+@F.pandas_udf(StringType())
+def id_slug(stem: pd.Series) -> pd.Series:
+    """A stem as part of an id: accents go with their decomposition, other signs become "_"; "file" if nothing is left."""
+    def one(text: str) -> str:
+        plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+        return re.sub(r"[^a-zA-Z0-9]+", "_", plain).strip("_").lower() or "file"
+
+    return stem.map(one, na_action="ignore")
+
+
+def json_reply(raw: Column, schema: str) -> Column:
+    """A model's JSON reply, with or without a code fence and words around it, as a struct; null if it isn't one."""
+    inner = F.regexp_extract(strip_think(raw), r"(?s)(\{.*\})", 1)
+    return F.from_json(F.when(inner != "", inner), schema)
+
+
+#: Words by which short texts of four languages are told apart, when no detector is plugged in.
+LANGUAGE_WORDS = {"en": "the and of to is in that for with", "fr": "le la les et des est une dans pour", "es": "el los las y que una por con para", "de": "der die das und ist nicht ein mit von"}
+
+
+def language_of(text: Column, chars: int = 300, least: int = 30) -> Column:
+    """The language with the most of its words in the first `chars` characters; "" for short or unknown texts."""
+    words = F.split(F.lower(F.substring(text, 1, chars)), r"[^\p{L}]+")
+
+    def hit(known: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*known.split())))
+
+    hits = [F.struct(hit(known).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, known) in enumerate(LANGUAGE_WORDS.items())]
+    best = F.array_max(F.array(*hits))
+    return F.when((F.length(text) < least) | (best["n"] == 0), "").otherwise(best["name"])
+
+
 def file_stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
 

@@ -272,6 +272,34 @@ def finalise(chunks: DataFrame, source: str = "source", order: list[str] | None
     })
 
 
+def page_ids(chunks: DataFrame, source: str = "source", order: str = "ord") -> DataFrame:
+    """chunk_id: source, page from 1, kind, and a counter from 0 over all kinds of a page."""
+    n = F.row_number().over(Window.partitionBy(source, "page").orderBy(order)) - 1
+    return chunks.withColumn("chunk_id", F.concat(F.col(source), F.lit("_p"), F.col("page") + 1, F.lit("_"), F.col("type"), n))
+
+
+def txt(text: str, most: int = TXT_MOST, least: int = TXT_LEAST) -> list[str]:
+    """A plain text's chunks by its kind: structured texts break at headings, others at blank lines; parts are
+    grouped by budget, tables kept whole, and small ones joined."""
+    lines = re.split("\r?\n", text)
+    heads = [bool(level_of(x) or re.match(r"^\d+[).]\s+[A-Z]", x) or re.match(r"^(_{3,}|={3,}|-{3,})$", x.strip())) for x in lines]
+    structured = len(lines) > 0 and (sum(heads) / len(lines) > 0.05 or sum(bool(re.match(r"^\s*[*\-•]\s+", x)) for x in lines) / len(lines) > 0.20)
+    out: list[str] = []
+    for kind, part in segments(text):
+        if kind == "table":
+            out += table_chunks(part, most)
+        elif structured:
+            pieces: list[list[str]] = [[]]
+            for x in part.splitlines():
+                if level_of(x) and pieces[-1]:
+                    pieces.append([])
+                pieces[-1].append(x)
+            out += [c for p in pieces for c in pack(["\n".join(p)] if tokens_of("\n".join(p)) <= most else p, most, "\n")]
+        else:
+            out += group([s for p in re.split(r"\n{2,}", part) for s in ([p.strip()] if tokens_of(p) <= most else sentences(p)) if s], least, most)
+    return merge_small([c for c in out if c.strip()], least, most)
+
+
 def statistics(chunks: DataFrame, kind: str = "type") -> DataFrame:
     return chunks.agg(F.count("*").alias("total"), *[F.count_if(F.col(kind) == k).alias(k) for k in ("text", "table", "image")], F.sum("token_count").cast("bigint").alias("tokens"))
 

@@ -14,8 +14,8 @@ from millrace.sources.scratch import written
 #: Saturation and length normalisation of term weights; constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
 GLOBAL_OWNER = "__global__"
-#: Distinct query terms up to which document frequencies are counted for them alone.
-FEW_TERMS = 50_000
+#: Distinct query terms up to which other words of documents are dropped where they are read.
+FEW_TERMS = 500
 
 
 def payload_filter(wanted: dict) -> Column:
@@ -62,17 +62,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
 
     The corpus is read twice: for document frequencies (one aggregation whose map side combines) and for the
     scores, where queries come to the documents. Terms of a query are weighted by the same saturation, over
-    its own length. Documents that share no term with a query aren't ranked.
+    its own length. Few query terms are pushed into the reading of the documents. Documents that share no
+    term with a query aren't ranked.
     """
-    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("w"))
     asked = queries.select("q_id", tokens(F.col("text")).alias("w")).select("q_id", F.size("w").alias("ql"), F.explode("w").alias("term")).groupBy("q_id", "ql", "term").agg(F.count("*").alias("qtf"))
     asked = written(asked, "asked")
-    terms = asked.select("term").distinct()
-    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    terms = [r.term for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    few = 0 < len(terms) <= FEW_TERMS
+    mine = lambda w: F.struct(F.size(w).alias("dl"), (F.filter(w, lambda t: t.isin(terms)) if few else w).alias("w"))
+    words = docs.select(F.col(id_col), F.element_at(F.transform(F.array(tokens(F.col(text_col))), mine), 1).alias("x")).select(id_col, "x.dl", "x.w")
     # a marker without a term carries the lengths, so that one pass gives both statistics
-    marked = words.select(F.explode(F.concat(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.when(F.size("w") > 0, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("dl")))).otherwise(F.array()))).alias("x")).select("x.*")
-    if few:  # FEW_TERMS at most; more terms are looked up after the aggregation
-        marked = marked.join(F.broadcast(terms.withColumn("_asked", F.lit(True))), "term", "left").where(F.col("term").isNull() | F.col("_asked"))
+    marked = words.select(F.explode(F.concat(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.when(F.col("dl") > 0, F.array(F.struct(F.lit(None).cast("string").alias("term"), "dl"))).otherwise(F.array()))).alias("x")).select("x.*")
     frequency = written(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total")), "frequency")
     whole = frequency.where("term is null").first()
     if whole is None:

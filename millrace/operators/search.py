@@ -108,7 +108,7 @@ def dense(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]]
 
 
 def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturated: Callable, id_col: str, digits: int) -> DataFrame:
-    """q_id, id, score and rk. words: id, w (array of words); asked: q_id, term, weight (a query's own part of
+    """q_id, id, score and rk. words: id, dl (a document's words in all), w (those that may be asked for); asked: q_id, term, weight (a query's own part of
     the score); saturated(tf, dl, average) the document's part.
 
     Words become places in the batch's sorted list of terms; each place has the queries that ask for it.
@@ -129,7 +129,7 @@ def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturate
             names, terms, edge, asking, weight = sent.value
             if not len(names) or not b.num_rows:
                 return
-            lists = b.column(1)
+            lists, size = b.column(2), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             starts = lists.offsets.to_numpy().astype(np.int64)
             starts = starts - starts[0]
             found = pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -141,7 +141,7 @@ def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturate
                 doc = np.repeat(np.arange(upto - at), length)[mine >= 0]
                 pair, tf = np.unique(doc * len(terms) + mine[mine >= 0], return_counts=True)
                 doc, term = pair // len(terms), pair % len(terms)
-                part = saturated(tf.astype(np.float64), length[doc].astype(np.float64), average)
+                part = saturated(tf.astype(np.float64), size[at + doc], average)
                 scores = np.zeros((upto - at) * len(names))
                 hit = np.zeros(len(scores), bool)
                 many = edge[term + 1] - edge[term]
@@ -162,6 +162,6 @@ def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturate
                     if len(with_term):
                         best.add(name, scores[with_term, x], ids.take(pa.array(with_term)))
 
-        out.append(_scan(words.select(id_col, "w"), id_col, "score", k, step))
+        out.append(_scan(words.select(id_col, "dl", "w"), id_col, "score", k, step))
     found = reduce(DataFrame.unionByName, out).select("q_id", F.col(id_col).cast(kinds[id_col]).alias(id_col), "score")
     return top(found, "q_id", [F.col("score").desc(), F.col(id_col)], k)

@@ -7,6 +7,7 @@ import email
 import email.policy
 import io
 import re
+import signal
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -261,10 +262,32 @@ def _read(name: str, raw: bytes, known: dict) -> list[tuple[int, str, str]]:
     return _mail(raw, known) if read is _mail else read(raw)
 
 
-def documents(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
+class _Late(Exception):
+    """A reader took too long."""
+
+
+def _within(seconds: float | None, f, *args):
+    """f(*args), given up after so many seconds. Signals reach a worker's main thread, which runs readers."""
+    if not seconds:
+        return f(*args)
+
+    def late(*_):
+        raise _Late(f"not read within {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return f(*args)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def documents(spark: SparkSession, path: str, readers: dict | None = None, most_bytes: int = 50 << 20, seconds: float | None = 120) -> DataFrame:
     """Blocks of every file below a path, by a reader for its extension: path, ord, page, kind, text. A reader
     is any function from bytes to (page, kind, text) - PDF and image readers are plugged in here. A file
-    that fails, or has no reader, gives one row of kind "error"."""
+    that fails, has no reader, is larger than most_bytes or takes longer than `seconds` gives one row of
+    kind "error"; contents of files that are too large aren't loaded."""
     known = READERS | (readers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,13 +295,16 @@ def documents(spark: SparkSession, path: str, readers: dict | None = None) -> Da
             rows = []
             for name, raw in zip(g["path"], g["content"], strict=True):
                 try:
-                    found = _read(name, bytes(raw), known)
+                    found = [(0, "error", f"larger than {most_bytes} bytes")] if raw is None else _within(seconds, _read, name, bytes(raw), known)
                 except Exception as e:
                     found = [(0, "error", str(e)[:500])]
                 rows += [(name, i, page, kind, t) for i, (page, kind, t) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "ord", "page", "kind", "text"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, BLOCKS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= most_bytes).select("path", "content")
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).mapInPandas(run, BLOCKS)
 
 
 def stem(path: Column) -> Column:

@@ -1,64 +1,129 @@
 """Tables of chunks, vectors and keyed rows as Parquet folders with versions.
 
-A version is a folder; a small pointer table names the current one, so that readers never see half a
-write and a snapshot is just a version that is kept.
+Rows lie in buckets by a hash of their key. A version is a small manifest that names each bucket's
+folder; a write makes new folders for the buckets that it touches and then a manifest, which counts once
+it is there. So readers never see half a write, an upsert costs its buckets and not the table, and a
+snapshot is a manifest that is kept. Of two writers that start from one version the second is refused.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.profile import upsert
 
+#: Points that one page of a scan holds.
+PAGE = 256
+
+
+class Conflict(RuntimeError):
+    """Another writer made the version that this one was to make."""
+
 
 class Table:
     """A keyed table below a path of any file system that Spark writes."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, partition: str | None = None):
-        self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), key, partition
-
-    def _fs(self):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
+    # manifests
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def versions(self) -> list[str]:
+    def _fs(self):
+        return self._at("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
         fs = self._fs()
         return sorted(s.getPath().getName() for s in fs.listStatus(self._at(""))) if fs.exists(self._at("")) else []
 
+    def versions(self) -> list[str]:
+        """Names of versions, oldest first."""
+        return [n.removesuffix(".json") for n in self._names() if n.startswith("v") and n.endswith(".json")]
+
     def current(self) -> str | None:
-        names = [v for v in self.versions() if v.startswith("v") and self._fs().exists(self._at(f"{v}/_SUCCESS"))]
+        names = self.versions()
         return names[-1] if names else None
 
-    def read(self) -> DataFrame:
+    def _manifest(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/{name}.json", wholetext=True).first().value)
+
+    def _state(self) -> tuple[int, dict]:
         name = self.current()
         if name is None:
             raise FileNotFoundError(f"nothing in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return int(name[1:]), self._manifest(name)
+
+    def _put(self, name: str, manifest: dict) -> None:
+        """Write a manifest unless there is one of this name. It is moved into place whole."""
+        fs, part, whole = self._fs(), self._at(f"_{uuid.uuid4().hex}"), self._at(f"{name}.json")
+        out = fs.create(part, False)
+        out.writeBytes(json.dumps(manifest))
+        out.close()
+        try:
+            done = not fs.exists(whole) and fs.rename(part, whole)
+        except Py4JJavaError:
+            done = False
+        if not done:
+            fs.delete(part, False)
+            raise Conflict(f"{name} is there already")
+
+    # reading
+    def _rows(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
+        wanted = manifest["buckets"] if buckets is None else {k: manifest["buckets"][k] for k in buckets if k in manifest["buckets"]}
+        if not wanted:
+            return self.spark.createDataFrame([], manifest["schema"])
+        return self.spark.read.schema(manifest["schema"]).parquet(*[f"{self.path}/{folder}/_bucket={k}" for k, folder in wanted.items()])
 
-    def write(self, df: DataFrame) -> str:
-        """A new version; it counts once its _SUCCESS file is there."""
-        n = int((self.current() or "v0")[1:].split("-")[0]) + 1
-        name = f"v{n:08d}-{uuid.uuid4().hex[:8]}"
-        out = df.write
-        (out.partitionBy(self.partition) if self.partition else out).parquet(f"{self.path}/{name}")
+    def read(self) -> DataFrame:
+        return self._rows(self._state()[1])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    # writing
+    def _commit(self, df: DataFrame, base: int, kept: dict) -> str:
+        """Write df's buckets, then a manifest of them and the kept ones."""
+        folder = f"data-{uuid.uuid4().hex}"
+        df.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        made = [s.getPath().getName() for s in self._fs().listStatus(self._at(folder))]
+        mine = {n.removeprefix("_bucket="): folder for n in made if n.startswith("_bucket=")}
+        name = f"v{base + 1:08d}"
+        self._put(name, {"schema": ", ".join(f"`{c}` {t}" for c, t in df.dtypes), "buckets": kept | mine})
         return name
 
+    def write(self, df: DataFrame) -> str:
+        """A new version with these rows alone."""
+        return self._commit(df, self._state()[0] if self.current() else 0, {})
+
+    def _change(self, touched: DataFrame, change) -> str:
+        """Rewrite the buckets that `touched` rows lie in: change(old rows of these buckets)."""
+        base, manifest = self._state()
+        some = [str(r[0]) for r in touched.select(self._bucket()).distinct().collect()]  # `buckets` numbers at most
+        kept = {k: f for k, f in manifest["buckets"].items() if k not in some}
+        return self._commit(change(self._rows(manifest, some)), base, kept)
+
     def upsert(self, rows: DataFrame, order: Column | None = None) -> str:
-        return self.write(rows if self.current() is None else upsert(self.read(), rows, self.key, order))
+        """Rows replace those of their keys; untouched buckets stay as they are."""
+        return self.write(rows) if self.current() is None else self._change(rows, lambda old: upsert(old, rows, self.key, order))
 
     def delete(self, condition: Column) -> str:
         """Rows for which the condition holds go; unknown ones stay."""
-        return self.write(self.read().where(~F.coalesce(condition, F.lit(False))))
+        return self._change(self.read().where(condition), lambda old: old.where(~F.coalesce(condition, F.lit(False))))
 
     def scroll(self, wanted: Column | None = None) -> DataFrame:
         return self.read() if wanted is None else self.read().where(wanted)
 
+    def page(self, after: object = None, wanted: Column | None = None, size: int = PAGE) -> DataFrame:
+        """The next rows by key after the last key of the page before."""
+        rows = self.scroll(wanted)
+        return (rows if after is None else rows.where(F.col(self.key) > after)).orderBy(self.key).limit(size)
+
     def of_document(self, doc_id: str, order: str = "chunk_index", limit: int = 1000) -> DataFrame:
         return self.read().where(F.col("doc_id") == doc_id).orderBy(order).limit(limit)
 
@@ -66,22 +131,28 @@ class Table:
         return self.read().agg(F.count("*").alias("rows"), F.countDistinct(self.key).alias("keys"))
 
     def snapshot(self, name: str) -> None:
-        """Keep the current version under a name."""
-        self.read().write.parquet(f"{self.path}/snapshot-{name}")
+        """Keep the current version under a name: its manifest alone is copied."""
+        self._put(f"snapshot-{name}", self._state()[1])
 
     def snapshots(self) -> list[str]:
-        return [v.removeprefix("snapshot-") for v in self.versions() if v.startswith("snapshot-")]
+        return [n.removeprefix("snapshot-").removesuffix(".json") for n in self._names() if n.startswith("snapshot-")]
 
     def restore(self, name: str) -> str:
-        return self.write(self.spark.read.parquet(f"{self.path}/snapshot-{name}"))
+        base, _ = self._state()
+        self._put(f"v{base + 1:08d}", self._manifest(f"snapshot-{name}"))
+        return f"v{base + 1:08d}"
 
     def drop_snapshot(self, name: str) -> None:
-        self._fs().delete(self._at(f"snapshot-{name}"), True)
+        self._fs().delete(self._at(f"snapshot-{name}.json"), False)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Old versions go, all but the last `keep`."""
-        for v in [x for x in self.versions() if x.startswith("v")][:-keep]:
-            self._fs().delete(self._at(v), True)
+        """Old versions go, all but the last `keep`, and folders that no version or snapshot names."""
+        for v in self.versions()[:-keep]:
+            self._fs().delete(self._at(f"{v}.json"), False)
+        held = {f for n in [*self.versions(), *(f"snapshot-{s}" for s in self.snapshots())] for f in self._manifest(n)["buckets"].values()}
+        for n in self._names():
+            if n.startswith("data-") and n not in held:
+                self._fs().delete(self._at(n), True)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -90,3 +161,28 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)  # a summary is a row
+
+
+class Results:
+    """JSON results by name below a folder: put, list, get, delete."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        """Newest first."""
+        fs = self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = list(fs.listStatus(self._at())) if fs.exists(self._at()) else []
+        return [n for _, n in sorted(((-s.getModificationTime(), s.getPath().getName()) for s in found))]
+
+    def put(self, name: str, df: DataFrame) -> None:
+        write_summary(df, f"{self.path}/{name}")
+
+    def get(self, name: str) -> DataFrame:
+        return self.spark.read.json(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> bool:
+        return self._at(name).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(self._at(name), True)
