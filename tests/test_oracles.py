@@ -35,7 +35,8 @@ def test_query(spark, duck, name):
     names = sorted(df.columns)
     mine = rows_of(names, [r.asDict() for r in df.collect()])
     sql = catalogue.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # restated in tests/test_restated.py
+        assert mine
         return
     got = duck.execute(sql)
     cols = [c[0] for c in got.description]
