@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowio import materialised
@@ -116,10 +116,25 @@ class DecisionList:
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def _thresholds(have: DataFrame, names: list[str], cuts: int) -> dict[str, list[float]]:
+    """The `cuts` quantiles of each feature, from counts over all rows; the same for any partitioning.
+
+    Values are counted in cells of under 1 % of their size, so counts are no more than a few thousand a
+    feature whatever the number of rows; a quantile is the largest value of the cell that reaches its share.
+    """
+    tall = have.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(n).alias("x")) for i, n in enumerate(names)])).alias("v")).select("v.f", "v.x")
+    cells = tall.groupBy("f", F.floor(F.ln("x") * 128).alias("cell")).agg(F.max("x").alias("x"), F.count("*").alias("n"))
+    upto = Window.partitionBy("f").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = cells.select("f", "x", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("f")).alias("all"))
+    reached = [F.min(F.when(F.col("upto") * cuts >= F.col("all") * i, F.col("x"))).alias(f"q{i}") for i in range(1, cuts)]
+    got = {r.f: sorted(set(r[1:])) for r in summed.groupBy("f").agg(*reached).collect()}
+    return {n: got.get(i, []) for i, n in enumerate(names)}
+
+
 def learn(rows: DataFrame, label: str = "quality", key: str = "doc_id", cuts: int = 24, max_rules: int = 8, max_tests: int = 3, precision: float = 0.97, min_covered: int = 8) -> DecisionList:
     """Sequential covering of the rows with label 0.
 
-    Thresholds are `cuts` quantiles of each feature over all labelled rows. Two thirds of them (by a
+    Thresholds are `cuts` quantiles of each feature over all labelled rows, whatever their partitioning. Two thirds of them (by a
     hash of `key`) grow a conjunction by FOIL gain; the last third prunes it from its end; it joins
     the list if enough of what it covers there has label 0. Covered rows leave, until no rule is
     good enough. Without labelled rows, or with one label alone, the list is empty and keeps all.
@@ -130,9 +145,7 @@ def learn(rows: DataFrame, label: str = "quality", key: str = "doc_id", cuts: in
         (F.pmod(F.xxhash64(key), F.lit(3)) == 0).alias("prune"),
         *[F.coalesce(F.expr(f"cast({FEATURES[n]} as double)"), F.lit(0.0)).alias(n) for n in names],
     )
-    share = [i / cuts for i in range(1, cuts)]
-    at = have.agg(*[F.percentile_approx(n, share, 2000).alias(n) for n in names]).first()
-    points = {n: sorted(set(at[n] or [])) for n in names}
+    points = _thresholds(have, names, cuts)
     if not any(points.values()):
         return DecisionList()
 

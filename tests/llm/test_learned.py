@@ -42,6 +42,29 @@ def test_rules_on_labelled_documents(spark):
     assert sum(r.kept for r in got if r.quality == 1) >= 0.98 * sum(r.quality for r in got)
 
 
+def test_thresholds_are_quantiles_for_any_partitioning(spark):
+    """Brute force over the sorted values: the largest value of the cell in which each share is reached."""
+    r = random.Random(5)
+    rows = [(float(r.randint(0, 3000)), 0.0 if i % 3 else r.random() / 50) for i in range(4000)]
+    cell = lambda x: math.floor(math.log(x) * 128) if x else None
+    want = {}
+    for name, values in zip(("a", "b"), zip(*rows, strict=True), strict=True):
+        inside, top = sorted(values), {}
+        for x in inside:
+            top[cell(x)] = x
+        want[name] = sorted({top[cell(inside[-(-len(inside) * i // 24) - 1])] for i in range(1, 24)})
+    for parts in (1, 3, 17):
+        table = spark.createDataFrame(rows, "a double, b double").repartition(parts)
+        assert quality_rules._thresholds(table, ["a", "b"], 24) == want
+    assert quality_rules._thresholds(table.limit(0), ["a", "b"], 24) == {"a": [], "b": []}
+
+
+def test_verdicts_do_not_depend_on_the_partitioning(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    one, many = (sorted(quality_rules.apply(docs.repartition(n, "source" if n > 1 else "doc_id"), labels).collect()) for n in (1, 13))
+    assert one == many
+
+
 def test_rules_without_labels(docs, corpus, nothing, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     rows = quality_rules.apply(docs, none).collect()
