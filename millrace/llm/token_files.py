@@ -6,7 +6,7 @@ A folder holds, for each part in ascending order of documents,
                then the place after the part's last id
   <part>.ids   the document ids (Arrow file)
 and manifest.json, which lists the committed parts. A part's base is the prefix sum of the parts
-before it. Readers map the files into memory.
+before it. Readers map the files into memory, or read ranges of them where the store can't be mapped.
 """
 
 from __future__ import annotations
@@ -25,20 +25,37 @@ from pyspark.sql import functions as F
 from millrace.llm.arrowio import reachable, shared_dir, slices, texts
 from millrace.llm.tokens import encoder
 
+#: Offsets that are moved at once.
+AT_ONCE = 1 << 20
+
 
 def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file's numbers, mapped into memory where the store is a mounted file system."""
-    store, path = _store(uri)
-    if store.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _Numbers:
+    """A file's numbers by range: mapped into memory where the store is a mounted file system, else
+    each range is read by itself, so that no part is held whole."""
+
+    def __init__(self, uri: str, dtype: str) -> None:
+        store, path = _store(uri)
+        self.dtype, self.map, self.file = np.dtype(dtype), None, None
+        if store.get_file_info(path).size == 0:
+            self.map = np.zeros(0, dtype)
+        elif isinstance(store, fs.LocalFileSystem):
+            self.map = np.memmap(path, dtype, "r")
+        else:
+            self.file = store.open_input_file(path)
+        self.length = len(self.map) if self.file is None else self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.length
+
+    def range(self, first: int, end: int) -> np.ndarray:
+        if self.file is None:
+            return self.map[first:end]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((end - first) * width, first * width), self.dtype)
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> dict:
@@ -89,15 +106,25 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_
         store, base = _store(out)
         for b in batches:
             for r in b.to_pylist():
-                local = _mapped(f"{out}/{r['name']}.local", "<u8")
+                local = _Numbers(f"{out}/{r['name']}.local", "<u8")
                 tmp = f"{base}/{r['name']}.off-{TaskContext.get().taskAttemptId()}"
                 with store.open_output_stream(tmp) as f:
-                    f.write((local + np.uint64(r["base"])).astype("<u8").tobytes())
+                    for k in range(0, len(local), AT_ONCE):
+                        f.write((local.range(k, min(k + AT_ONCE, len(local))) + np.uint64(r["base"])).astype("<u8").tobytes())
                 store.move(tmp, f"{base}/{r['name']}.off")
             yield b
 
-    if made:
-        _parts(spark, manifest).mapInArrow(shift, "name string, base bigint, width bigint").count()
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(out)
+        for b in batches:
+            for r in b.to_pylist():
+                if store.get_file_info(f"{base}/{r['name']}.local").type == fs.FileType.File:
+                    store.delete_file(f"{base}/{r['name']}.local")
+            yield b
+
+    if made:  # local offsets go once all parts have theirs: a shift that is run again still finds them
+        for step in (shift, tidy):
+            _parts(spark, manifest).mapInArrow(step, "name string, base bigint, width bigint").count()
     store, base = _store(out)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/manifest.json") as f:
@@ -112,7 +139,7 @@ def _parts(spark: SparkSession, manifest: dict) -> DataFrame:
 
 def read(spark: SparkSession, out: str, ids: bool = False) -> DataFrame:
     """Documents of a folder: id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids),
-    and the ids themselves on demand. One task a part; files are mapped, not loaded."""
+    and the ids themselves on demand. One task a part; files are mapped or read by ranges, not loaded."""
     reachable(spark)
     store, base = _store(out)
     with store.open_input_file(f"{base}/manifest.json") as f:
@@ -123,14 +150,14 @@ def read(spark: SparkSession, out: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                flat, off = _mapped(f"{out}/{r['name']}.bin", f"<u{r['width']}"), _mapped(f"{out}/{r['name']}.off", "<u8").astype(np.int64)
+                flat, off = _Numbers(f"{out}/{r['name']}.bin", f"<u{r['width']}"), _Numbers(f"{out}/{r['name']}.off", "<u8")
                 st, p = _store(out)
                 with st.open_input_file(f"{p}/{r['name']}.ids") as f:
                     of = pa.ipc.open_file(f).read_all().column(0).combine_chunks()
                 for at in range(0, len(of), 5000):
                     upto = min(at + 5000, len(of))
-                    x = off[at : upto + 1]
-                    wide = memoryview(np.ascontiguousarray(flat[x[0] - r["base"] : x[-1] - r["base"]], "<u4")).cast("B")
+                    x = off.range(at, upto + 1).astype(np.int64)
+                    wide = memoryview(np.ascontiguousarray(flat.range(int(x[0]) - r["base"], int(x[-1]) - r["base"]), "<u4")).cast("B")
                     z = (x - x[0]).tolist()
                     part = of.slice(at, upto - at)
                     part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part

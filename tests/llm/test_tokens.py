@@ -86,10 +86,25 @@ def test_token_files(docs, corpus, clashing, nothing, tmp_path, spark):
         assert sum(p["docs"] for p in manifest["parts"]) == len(corpus)
         flat = np.concatenate([np.fromfile(tmp_path / str(k) / f"{p['name']}.bin", "<u2") for p in manifest["parts"]])
         assert len(flat) == sum(r.n_tokens for r in rows) and flat[0] == rows[0].ids[0]
+        assert not list((tmp_path / str(k)).glob("*.local"))
     token_files.write(nothing, f"file://{tmp_path}/none", BYTES, end_id=2)
     assert token_files.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_numbers_of_a_store_that_cannot_be_mapped(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "x.bin")
+    (tmp_path / "none.bin").write_bytes(b"")
+    mapped = token_files._Numbers(f"file://{tmp_path}/x.bin", "<u2")
+    monkeypatch.setattr(token_files, "_store", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri.removeprefix("file://")))
+    ranged = token_files._Numbers(f"file://{tmp_path}/x.bin", "<u2")
+    assert mapped.file is None and ranged.file is not None and len(mapped) == len(ranged) == 1000
+    for first, end in ((0, 0), (0, 7), (990, 1000), (0, 1000)):
+        assert mapped.range(first, end).tolist() == ranged.range(first, end).tolist() == list(range(first, end))
+    assert len(token_files._Numbers(f"file://{tmp_path}/none.bin", "<u8")) == 0
+
+
 def test_packing(docs, corpus, clashing, nothing):
     want = library(WORDS)
     for d in (docs, clashing):
