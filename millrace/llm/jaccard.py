@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.arrowio import binary_array, fresh, materialised, reachable, slices, texts
 from millrace.llm.components import components
 from millrace.llm.hashing import mixed, shingle_sets
+from millrace.llm.skew import join_spread
 
 SIZE, PERCENT = 5, 80
 #: Heaviest shingle cells whose counts order the prefixes; the rest count as rare. Bounds a broadcast.
@@ -513,7 +514,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     entries = text.mapInArrow(_prefixes(heavy, size, percent, buckets), _ENTRY_DDL)
     shared = materialised(entries.groupBy("bucket").applyInArrow(_shared, _ENTRY_DDL), "postings")
 
-    nodes = mine.where("node is not null").groupBy("node").agg(F.min(id_col).alias(id_col))
+    (copies,) = fresh([id_col], "copies")
+    nodes = materialised(mine.where("node is not null").groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias(copies)), "nodes")
 
     def verified(pairs: DataFrame, counted: bool) -> DataFrame:
         """The pairs that are similar; `counted`: their shared prefix shingles have been counted.
@@ -545,7 +547,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(pick, "key bigint, node binary, n int, ask int, prefix binary, text binary, bytes int")
         whole = materialised(picked, "candidate-sets")  # a task's copies of a node are one; another task's make a pair come twice
         a, b = (members.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b")
+        ends = 2 * pairs.count()
+        both = join_spread(join_spread(pairs, a, "a", "pa", ends), b, "b", "pb", ends)
         turned = F.struct("pb", "b") < F.struct("pa", "a")
         hub, other = (F.when(t, F.struct(F.col("a").alias("node"), F.col("ka").alias("key"), F.col("pa").alias("pairs"))).otherwise(F.struct(F.col("b").alias("node"), F.col("kb").alias("key"), F.col("pb").alias("pairs"))) for t in (turned, ~turned))
         salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("h.pairs") / F.lit(FOLLOWERS)))
@@ -565,9 +568,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     led = materialised(shared.mapInArrow(_leaders(percent), "a binary, b binary, token bigint, n bigint, pos bigint"), "led")
     parts = led.where("b is null").select("a", "token", "n", "pos")
+    # of dealt lists only, which are fewer than heavy cells
     tops = parts.groupBy("token").agg(F.min(F.struct("pos", F.col("a").alias("b"), F.col("n").alias("m"))).alias("t")).select("token", "t.b", "t.m")
     near = (F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    first = materialised(led.where("b is not null").select("a", "b").union(parts.join(tops, "token").where(near).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs")
+    first = materialised(led.where("b is not null").select("a", "b").union(parts.join(F.broadcast(tops), "token").where(near).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs")
     links = materialised(verified(first, False), "links")
     labels = components(links)
 
@@ -597,10 +601,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         if not more.isEmpty():
             labels = components(links.union(more))
 
-    reached = nodes.join(labels, "node").groupBy("component").agg(F.min(id_col).alias("least"))
-    named = labels.join(reached, "component").select("node", "component", "least")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("least", id_col).alias("component_id"), F.coalesce("component", "node").alias("component"))
-    return mine.join(own, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"), "node", "component", "text_key")
+    reached = nodes.join(labels, "node").groupBy("component").agg(F.min(id_col).alias("least"), F.count("*").alias("members"))
+    named = join_spread(labels, materialised(reached, "reached"), "component", "members", labels.count()).select("node", "component", "least")
+    own = nodes.join(named, "node", "left").select("node", F.coalesce("least", id_col).alias("component_id"), F.coalesce("component", "node").alias("component"), copies)
+    names = [id_col, "n_shingles", "component_id", "node", "component", "text_key"]
+    alone = mine.where("node is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), "node", F.col("node").alias("component"), "text_key")
+    held = join_spread(mine, materialised(own, "own"), "node", copies, mine.count())
+    return held.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"), "node", "component", "text_key").unionByName(alone).select(*names)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
