@@ -15,7 +15,8 @@ common anchors have a common minimiser, and those are mostly equal.
 Copies never travel in numbers: of rows with one word sequence (a 128-bit BLAKE2b digest of the words)
 each task sends one, as each window of a copy is repeated anyway; of equal pieces, compared word by
 word, each task sends one, marked as repeated, and answers for its own places itself. So a bucket gets
-each distinct piece at most once from a task.
+each distinct piece at most once from a task. The rows of a large group of copies learn that they are
+copies where they are, from a broadcast name, and aren't brought together.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrowio import coded, materialised, reachable, slices, split_words, texts
 from millrace.llm.hashing import mixed, window_hashes
+from millrace.llm.skew import join_spread
 
 #: Words of a minimiser.
 ANCHOR = 8
@@ -238,8 +240,10 @@ def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int
         return pa.concat_tables([own.select(["id", "text_key", "first", "end"]), found.cast(own.schema)])
 
     spans = sent.groupBy("bucket").applyInArrow(count, f"id {id_type}, text_key bigint, first bigint, end bigint")
-    copies = rows.where(F.col("n_words") >= window).groupBy("sequence").agg(F.count("*").alias("k")).where("k > 1").select("sequence")
-    whole_rows = rows.where(F.col("n_words") >= window).join(copies, "sequence").select(F.col(id_col).alias("id"), "text_key", F.lit(0).cast("bigint").alias("first"), F.col("n_words").alias("end"))
+    long = rows.where(F.col("n_words") >= window)
+    copies = materialised(long.groupBy("sequence").agg(F.count("*").alias("k")).where("k > 1"), "copies")
+    copied = join_spread(long, copies, "sequence", "k", long.count())
+    whole_rows = copied.select(F.col(id_col).alias("id"), "text_key", F.lit(0).cast("bigint").alias("first"), F.col("n_words").alias("end"))
     return rows, spans.union(whole_rows)
 
 
