@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +61,23 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
 
 
 class Encoder:
-    """Ids of texts. kind: "byte" (a chunk starts before a single space), "word" (white space is dropped)."""
+    """Ids of texts. kind: "byte" (a chunk starts before a single space), "word" (white space is dropped).
 
-    def __init__(self, path: str, kind: str):
+    Strings of special tokens inside a text give what the library gives: the special token's id, or
+    with plain=True the ids of ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.kind = kind
         self.ranks = read_ranks(path) if path.endswith(".tiktoken") else None
         self.library = tokenizer_of_ranks(self.ranks) if self.ranks else Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        named = [] if plain else [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        # white space before a special token ends a text for the library, so no chunk starts at one
+        self.starts_special = f"^({'|'.join(named)})" if named else None
         self._forget()
 
     def _forget(self) -> None:
@@ -134,6 +142,8 @@ class Encoder:
         offsets = offsets - offsets[0]
         coded = flat.dictionary_encode()
         opens = pc.match_substring_regex(coded.dictionary, _OPENS).to_numpy(zero_copy_only=False)
+        if self.starts_special:
+            opens = opens & ~pc.match_substring_regex(coded.dictionary, self.starts_special).to_numpy(zero_copy_only=False)
         code = coded.indices.to_numpy()
         ok = opens[code]
         first = offsets[:-1]
@@ -213,11 +223,11 @@ class ByteTable:
         return np.maximum(opens[np.minimum(ends - self.length[ids] + 1, len(data))] - 1, 0), opens[ends]
 
 
-_MADE: dict[tuple[str, str], Encoder] = {}
+_MADE: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, plain: bool = False) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if (path, kind) not in _MADE:
-        _MADE[path, kind] = Encoder(path, kind)
-    return _MADE[path, kind]
+    if (path, kind, plain) not in _MADE:
+        _MADE[path, kind, plain] = Encoder(path, kind, plain)
+    return _MADE[path, kind, plain]
