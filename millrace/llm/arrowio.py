@@ -91,6 +91,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(got, "") if got.null_count else got
 
 
+def flat_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string array without nulls in one run, and where each text's begin."""
+    at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    data = np.frombuffer(text.buffers()[2], np.uint8) if len(text) and text.buffers()[2] else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+
+
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of all texts, and each text's first word's place."""
     parts = pc.ascii_split_whitespace(text)

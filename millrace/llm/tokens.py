@@ -78,13 +78,24 @@ class Encoder:
         named = [] if plain else [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         # white space before a special token ends a text for the library, so no chunk starts at one
         self.starts_special = f"^({'|'.join(named)})" if named else None
+        self.vocabulary = self.library.get_vocab_size()
         self._forget()
 
+    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def token_bytes(self) -> dict[int, bytes]:
+        """The bytes of each id of a byte-level vocabulary."""
+        if self.ranks:
+            return {r: t for t, r in self.ranks.items()}
+        back = {c: b for b, c in enumerate(byte_characters())}
+        return {i: bytes(back[c] for c in t) for t, i in self.library.get_vocab(False).items()}
+
     def _forget(self) -> None:
         """A chunk is known by its 128-bit hash: `key` is sorted, `check` is the other half."""
         none = np.zeros(0, np.uint64)
         self.key, self.check, self.start, self.length, self.met = none, none, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.vocabulary < 1 << 16 else np.uint32), 0
 
     def _shrink(self) -> None:
         """Keep the better half of the chunks: those met in the most slices."""
@@ -116,7 +127,7 @@ class Encoder:
         self.met[at[known]] += 1
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids = [x.ids for x in self.library.encode_batch_fast(chunks.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
+            ids = self._ids_of(chunks.take(pa.array(part)).to_pylist())
             n = np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(n.sum())
             while self.used + total > len(self.flat):
@@ -193,15 +204,59 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(n)])[offsets]
 
 
+class PieceEncoder(Encoder):
+    """Ids of texts by a sentencepiece model that puts a space before each text.
+
+    Where no piece holds a space after another character, no merge crosses from a character to the
+    space after it, so a text is cut there; with other vocabularies each text is one chunk.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.kind, self.ranks = "piece", None
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.vocabulary = self.library.get_piece_size()
+        self.pieces = [self.library.id_to_piece(i) for i in range(self.vocabulary)]
+        self.cuts = not any(re.search("[^\u2581]\u2581", p) for p in self.pieces)
+        self._forget()
+
+    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
+        return self.library.encode(chunks, num_threads=1)
+
+    def token_bytes(self) -> dict[int, bytes]:
+        """Pieces in UTF-8 with U+2581 as space; byte pieces are their byte."""
+        return {i: bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(self.pieces)}
+
+    def _chunks(self, text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """A chunk is the spaces (but one, which the model adds) and the word after them."""
+        if not self.cuts:
+            return text.dictionary_encode(), np.arange(len(text) + 1)
+        parts = pc.split_pattern(text, " ")
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        ok = np.concatenate([[True], full[:-1]])
+        ok[offsets[1:] - 1] &= full[offsets[1:] - 1]  # one space at a text's end goes with the word before
+        ok[offsets[:-1]] = True
+        if ok.all():
+            return flat.dictionary_encode(), offsets
+        begins = np.flatnonzero(ok)
+        size = np.diff(np.append(begins, len(ok)))
+        coded = flat.take(pa.array(begins + size - 1)).dictionary_encode()
+        code, more = coded.indices.to_numpy().astype(np.int64), []
+        for i in np.flatnonzero(size > 1):
+            code[i] = len(coded.dictionary) + len(more)
+            more.append(" ".join(flat.slice(int(begins[i]), int(size[i])).to_pylist()))
+        table = pa.concat_arrays([coded.dictionary, pa.array(more, pa.string())])
+        return pa.DictionaryArray.from_arrays(pa.array(code), table, safe=False), np.searchsorted(begins, offsets)
+
+
 class ByteTable:
-    """The bytes of each id of a byte-level vocabulary, to decode with."""
+    """The bytes of each id of a vocabulary, to decode with."""
 
     def __init__(self, encoder: Encoder):
-        if encoder.ranks:
-            known = {r: t for t, r in encoder.ranks.items()}
-        else:
-            back = {c: b for b, c in enumerate(byte_characters())}
-            known = {i: bytes(back[c] for c in t) for t, i in encoder.library.get_vocab(False).items()}
+        known = encoder.token_bytes()
         rows = [known.get(i, b"") for i in range(max(known) + 1)]
         self.length = np.fromiter(map(len, rows), np.int64, len(rows))
         self.start = np.cumsum(self.length) - self.length
@@ -227,7 +282,7 @@ _MADE: dict[tuple[str, str, bool], Encoder] = {}
 
 
 def encoder(path: str, kind: str, plain: bool = False) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file; kind "piece" is a sentencepiece model."""
     if (path, kind, plain) not in _MADE:
-        _MADE[path, kind, plain] = Encoder(path, kind, plain)
+        _MADE[path, kind, plain] = PieceEncoder(path) if kind == "piece" else Encoder(path, kind, plain)
     return _MADE[path, kind, plain]
