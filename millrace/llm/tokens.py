@@ -138,7 +138,8 @@ class Encoder:
         if len(new):
             order = new[np.argsort(key[new], kind="stable")]
             order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
-            order = order[~np.isin(key[order], self.key)] if len(self.key) else order
+            if len(self.key):  # another chunk of the same half hash is remembered
+                order = order[self.key[np.minimum(np.searchsorted(self.key, key[order]), len(self.key) - 1)] != key[order]]
             into = np.searchsorted(self.key, key[order])
             self.key, self.check = np.insert(self.key, into, key[order]), np.insert(self.check, into, check[order])
             self.start, self.length = np.insert(self.start, into, start[order]), np.insert(self.length, into, length[order])
