@@ -57,16 +57,27 @@ def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """q_id, id, score and rk of each query's k best documents; queries has q_id and text.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """q_id, ql, term, qtf of queries (q_id, text)."""
+    words = queries.select(F.col("q_id").cast("bigint").alias("q_id"), tokens(F.col("text")).alias("w"))
+    return words.select("q_id", F.size("w").alias("ql"), F.explode("w").alias("term")).groupBy("q_id", "ql", "term").agg(F.count("*").alias("qtf"))
+
+
+def query_weight(n: int, average: float) -> Column:
+    """A query term's own part of a score, of columns df, qtf and ql."""
+    return inverse_frequency(F.lit(n), F.col("df")) * saturated(F.col("qtf"), F.col("ql"), F.lit(average))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6, exclude_self: bool = False) -> DataFrame:
+    """q_id, id, score and rk of each query's k best documents; queries has q_id and text. With exclude_self a
+    query's own row (the id is its q_id) isn't ranked.
 
     The corpus is read twice: for document frequencies (one aggregation whose map side combines) and for the
     scores, where queries come to the documents. Terms of a query are weighted by the same saturation, over
     its own length. Few query terms are pushed into the reading of the documents. Documents that share no
     term with a query aren't ranked.
     """
-    asked = queries.select("q_id", tokens(F.col("text")).alias("w")).select("q_id", F.size("w").alias("ql"), F.explode("w").alias("term")).groupBy("q_id", "ql", "term").agg(F.count("*").alias("qtf"))
-    asked = written(asked, "asked")
+    asked = written(query_terms(queries), "asked")
     terms = [r.term for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     few = 0 < len(terms) <= FEW_TERMS
     mine = lambda w: F.struct(F.size(w).alias("dl"), (F.filter(w, lambda t: t.isin(terms)) if few else w).alias("w"))
@@ -78,9 +89,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     if whole is None:
         return queries.sparkSession.createDataFrame([], f"q_id bigint, `{id_col}` {dict(docs.dtypes)[id_col]}, score double, rk bigint")
     n, average = whole.df, whole.total / whole.df
-    weight = inverse_frequency(F.lit(n), F.col("df")) * saturated(F.col("qtf"), F.col("ql"), F.lit(average))
-    weighed = asked.join(frequency.where("term is not null"), "term").select("q_id", "term", weight.alias("weight"))
-    return search.lexical(words, weighed, average, k, saturated, id_col, digits)
+    weighed = asked.join(frequency.where("term is not null"), "term").select("q_id", "term", query_weight(n, average).alias("weight"))
+    return search.lexical(words, weighed, average, k, saturated, id_col, digits, exclude_self)
 
 
 top, dense = search.top, search.dense

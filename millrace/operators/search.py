@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import written
+
 #: Bytes of queries that one batch sends to the tasks; scores that a task holds at once.
 BATCH_BYTES, HELD_SCORES = 32 << 20, 4_000_000
 
@@ -73,7 +75,8 @@ def _scan(rows: DataFrame, id_col: str, score: str, k: int, step: Callable) -> D
 def dense(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, wanted=None, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, exclude_self: bool = False) -> DataFrame:
     """q_id, id, sim and rk of the k most similar unit vectors of each query (q_id, q); ties to the smaller id.
 
-    The filter comes first, so that k matching rows are ranked. Null vectors take no part.
+    The filter comes first, so that k matching rows are ranked. A vector is compared with queries of its own length
+    only; vectors and queries that are null or hold a null or a number that isn't finite take no part.
     """
     spark = vectors.sparkSession
     if isinstance(queries, list):
@@ -82,20 +85,19 @@ def dense(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]]
         queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], "q_id bigint, q array<double>")
     base = (vectors if wanted is None else vectors.where(wanted)).where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
     asked = queries.where(F.col("q").isNotNull()).select(F.col("q_id").cast("bigint").alias("q_id"), F.col("q").cast("array<double>").alias("q"))
-    out = []
-    for part in batches_of(asked, 8 * F.size("q") + 16):
-        rows = part.collect()  # BATCH_BYTES, give or take the hash's spread
-        sent = spark.sparkContext.broadcast((np.array([r.q_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
-
-        def step(b: pa.RecordBatch, best: _Best, sent=sent) -> None:
-            names, q = sent.value
-            if not len(names) or not b.num_rows:
-                return
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            width = max(1, HELD_SCORES // len(names))
-            for at in range(0, len(v), width):
+
+    def prepare(part: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows = part.toArrow()
+        names = rows.column("q_id").to_numpy()
+        return {n: (names[which], q) for n, which, q in _by_length(rows.column("q").combine_chunks())}
+
+    def step(b: pa.RecordBatch, best: _Best, sent: dict) -> None:
+        for n, which, v in _by_length(b.column(1)):
+            names, q = sent.get(n, ((), None))
+            width = max(1, HELD_SCORES // max(1, len(names)))
+            for at in range(0, len(v) if len(names) else 0, width):
                 sims = rounded(q @ v[at : at + width].T, digits)
-                ids = b.column(0).slice(at, width)
+                ids = b.column(0).take(pa.array(which[at : at + width]))
                 for i, name in enumerate(names.tolist()):
                     if exclude_self:
                         other = pc.fill_null(pc.not_equal(ids, name), True)
@@ -103,65 +105,105 @@ def dense(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]]
                     else:
                         best.add(name, sims[i], ids)
 
-        out.append(_scan(base, id_col, "sim", k, step))
-    return top(reduce(DataFrame.unionByName, out), "q_id", [F.col("sim").desc(), F.col(id_col)], k)
-
-
-def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturated: Callable, id_col: str, digits: int) -> DataFrame:
+    found = _in_turns(base, asked, 8 * F.size("q") + 16, prepare, step, id_col, "sim", k)
+    return top(found, "q_id", [F.col("sim").desc(), F.col(id_col)], k)
+
+
+def _by_length(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each length: the places of the vectors of that length whose components are all finite, and these vectors."""
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    size = np.diff(starts)
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are NaN
+    starts = starts - starts[0]
+    for n in np.unique(size[size > 0]).tolist():
+        which = np.flatnonzero(size == n)
+        v = flat.reshape(-1, n) if len(which) == len(size) else flat[starts[which][:, None] + np.arange(n)]
+        fine = np.isfinite(v).all(axis=1)
+        yield n, which[fine], v[fine]
+
+
+def _in_turns(rows: DataFrame, asked: DataFrame, bytes_of, prepare: Callable, step: Callable, id_col: str, score: str, k: int) -> DataFrame:
+    """Scan rows once for each batch of queries. Where there are several, a batch's best rows are written and its
+    broadcast is given up before the next one starts, so the driver and the tasks hold one batch at any time."""
+    parts, out = batches_of(asked, bytes_of), []
+    for part in parts:
+        sent = rows.sparkSession.sparkContext.broadcast(prepare(part))  # BATCH_BYTES, give or take the hash's spread
+        found = _scan(rows, id_col, score, k, lambda b, best, sent=sent: step(b, best, sent.value))
+        if len(parts) > 1:
+            found = written(found, "hits")
+            sent.destroy()
+        out.append(found)
+    return reduce(DataFrame.unionByName, out)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def prepared(part: DataFrame) -> tuple:
+    """A batch of weighed query terms (q_id, term, weight) for the tasks: queries in ascending order, terms, where each
+    term's queries begin, and these queries' places and weights."""
+    rows = part.select("q_id", "term", "weight").toArrow()
+    names, q = np.unique(rows.column("q_id").to_numpy(), return_inverse=True)
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[order], np.arange(len(coded.dictionary) + 1))
+    return names, coded.dictionary, edge, q.reshape(-1)[order], rows.column("weight").to_numpy()[order]
+
+
+def lexical(words: DataFrame, asked: DataFrame, average: float, k: int, saturated: Callable, id_col: str, digits: int, exclude_self: bool = False) -> DataFrame:
     """q_id, id, score and rk. words: id, dl (a document's words in all), w (those that may be asked for); asked: q_id, term, weight (a query's own part of
     the score); saturated(tf, dl, average) the document's part.
 
     Words become places in the batch's sorted list of terms; each place has the queries that ask for it.
     """
-    spark = words.sparkSession
     kinds = dict(words.dtypes)
-    out = []
-    for part in batches_of(asked, F.length("term") + 24):
-        rows = part.toArrow()  # BATCH_BYTES, give or take the hash's spread
-        names, q = np.unique(rows.column("q_id").to_numpy(), return_inverse=True)
-        coded = rows.column("term").combine_chunks().dictionary_encode()
-        place = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(place, kind="stable")
-        edge = np.searchsorted(place[order], np.arange(len(coded.dictionary) + 1))
-        sent = spark.sparkContext.broadcast((names, coded.dictionary.to_pylist(), edge, q.reshape(-1)[order], rows.column("weight").to_numpy()[order]))
-
-        def step(b: pa.RecordBatch, best: _Best, sent=sent) -> None:
-            names, terms, edge, asking, weight = sent.value
-            if not len(names) or not b.num_rows:
-                return
-            lists, size = b.column(2), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = lists.offsets.to_numpy().astype(np.int64)
-            starts = starts - starts[0]
-            found = pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
-            width = max(1, HELD_SCORES // len(names))
-            for at in range(0, b.num_rows, width):
-                upto = min(at + width, b.num_rows)
-                length = np.diff(starts[at : upto + 1])
-                mine = found[starts[at] : starts[upto]].astype(np.int64)
-                doc = np.repeat(np.arange(upto - at), length)[mine >= 0]
-                pair, tf = np.unique(doc * len(terms) + mine[mine >= 0], return_counts=True)
-                doc, term = pair // len(terms), pair % len(terms)
-                part = saturated(tf.astype(np.float64), size[at + doc], average)
-                scores = np.zeros((upto - at) * len(names))
-                hit = np.zeros(len(scores), bool)
-                many = edge[term + 1] - edge[term]
-                ends = np.cumsum(many)
-                i = 0
-                while i < len(many):  # so many postings at once as a task may hold
-                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HELD_SCORES, side="right")))
-                    n = many[i:j]
-                    at_query = np.repeat(edge[term[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    cell = np.repeat(doc[i:j], n) * len(names) + asking[at_query]
-                    scores += np.bincount(cell, np.repeat(part[i:j], n) * weight[at_query], len(scores))
-                    hit[cell] = True
-                    i = j
-                scores, hit = rounded(scores, digits).reshape(-1, len(names)), hit.reshape(-1, len(names))
-                ids = b.column(0).slice(at, upto - at)
-                for x, name in enumerate(names.tolist()):
-                    with_term = np.flatnonzero(hit[:, x])
-                    if len(with_term):
-                        best.add(name, scores[with_term, x], ids.take(pa.array(with_term)))
-
-        out.append(_scan(words.select(id_col, "dl", "w"), id_col, "score", k, step))
-    found = reduce(DataFrame.unionByName, out).select("q_id", F.col(id_col).cast(kinds[id_col]).alias(id_col), "score")
-    return top(found, "q_id", [F.col("score").desc(), F.col(id_col)], k)
+
+    def step(b: pa.RecordBatch, best: _Best, sent: tuple) -> None:
+        names, terms, edge, asking, weight = sent
+        if not len(names) or not b.num_rows:
+            return
+        lists, size = b.column(2), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        found = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        width = max(1, HELD_SCORES // len(names))
+        for at in range(0, b.num_rows, width):
+            upto = min(at + width, b.num_rows)
+            length = np.diff(starts[at : upto + 1])
+            mine = found[starts[at] : starts[upto]].astype(np.int64)
+            doc = np.repeat(np.arange(upto - at), length)[mine >= 0]
+            pair, tf = np.unique(doc * len(terms) + mine[mine >= 0], return_counts=True)
+            doc, term = pair // len(terms), pair % len(terms)
+            part = saturated(tf.astype(np.float64), size[at + doc], average)
+            scores = np.zeros((upto - at) * len(names))
+            hit = np.zeros(len(scores), bool)
+            many = edge[term + 1] - edge[term]
+            ends = np.cumsum(many)
+            i = 0
+            while i < len(many):  # so many postings at once as a task may hold
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HELD_SCORES, side="right")))
+                n = many[i:j]
+                at_query = ranges(edge[term[i:j]], n)
+                cell = np.repeat(doc[i:j], n) * len(names) + asking[at_query]
+                scores += np.bincount(cell, np.repeat(part[i:j], n) * weight[at_query], len(scores))
+                hit[cell] = True
+                i = j
+            scores, hit = rounded(scores, digits).reshape(-1, len(names)), hit.reshape(-1, len(names))
+            ids = b.column(0).slice(at, upto - at)
+            for x, name in enumerate(names.tolist()):
+                with_term = np.flatnonzero(hit[:, x])
+                mine = ids.take(pa.array(with_term))
+                if exclude_self and len(with_term):
+                    other = pc.fill_null(pc.not_equal(mine, name), True)
+                    with_term, mine = with_term[other.to_numpy(zero_copy_only=False)], mine.filter(other)
+                if len(with_term):
+                    best.add(name, scores[with_term, x], mine)
+
+    words = words.select(id_col, "dl", "w")
+    if len(batches_of(asked, F.length("term") + 24)) > 1:
+        words = written(words, "words")  # found once, not for each batch
+    found = _in_turns(words, asked, F.length("term") + 24, prepared, step, id_col, "score", k)
+    return top(found.select("q_id", F.col(id_col).cast(kinds[id_col]).alias(id_col), "score"), "q_id", [F.col("score").desc(), F.col(id_col)], k)

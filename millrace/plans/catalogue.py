@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import more_queries, registry, retrieval_queries, state_queries, table_queries, text_queries  # noqa: F401
+from millrace.plans import index_queries, more_queries, registry, retrieval_queries, state_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from millrace.operators import context, retrieval
 from millrace.plans.registry import query, table
 
-TERMS = ["the", "and", "of"]
 #: Searches ask for every row whose id is divisible by this, against all rows.
 EVERY = 50
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -17,10 +16,6 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
-def _question(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "q_id bigint, text string")
-
-
 def _vectors(spark, d):
     """All vectors, and those that are queries."""
     v = table(spark, d, "embeddings")
@@ -30,15 +25,17 @@ def _vectors(spark, d):
 _DOC_TERMS = f"toks AS (SELECT doc_id, lang, source, {_TOKENS} AS w FROM documents), tf AS (SELECT doc_id, lang, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, lang, w, unnest(w) AS term FROM toks) GROUP BY ALL)"
 _STATS = "st AS (SELECT count(*) AS n, CAST(sum(len(w)) AS DOUBLE) / count(*) AS a FROM toks WHERE len(w) > 0)"
 _BM25_PART = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))) * (qtf * 2.5::DOUBLE / (qtf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * ql / a)))"
-_BM25 = f"""WITH {_DOC_TERMS}, {_STATS}, q AS (SELECT 0 AS q_id, unnest(['the', 'and', 'of']) AS term, 1 AS qtf, 3 AS ql),
+_BM25 = f"""WITH {_DOC_TERMS}, {_STATS}, q AS (SELECT doc_id AS q_id, term, tf AS qtf, dl AS ql FROM tf WHERE doc_id % 50 = 0),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT q_id, doc_id, round(sum({_BM25_PART}), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY q_id, doc_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rk FROM sc)"""
 
 
-@query("bm25_top10", f"{_BM25} SELECT CAST(q_id AS BIGINT) AS q_id, doc_id, score, rk FROM rk WHERE rk <= 10")
+@query("bm25_top10", f"{_BM25} SELECT q_id, doc_id, score, rk FROM rk WHERE rk <= 10")
 def bm25_top10(spark, d):
-    return retrieval.bm25(_docs(spark, d), _question(spark, [" ".join(TERMS)]), 10)
+    """Every fiftieth document is a query against all documents, itself included."""
+    docs = _docs(spark, d)
+    return retrieval.bm25(docs, docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q_id"), "text"), 10)
 
 
 @query("term_frequency", f"WITH {_DOC_TERMS} SELECT doc_id, CAST(dl AS BIGINT) AS length, term, tf FROM tf")
@@ -68,7 +65,7 @@ def dense_topk(spark, d):
 
 _HYBRID = f"""WITH {_DOC_TERMS}, {_STATS}, {_DENSE}, bq AS (SELECT doc_id AS q_id, term, tf AS qtf, dl AS ql FROM tf WHERE doc_id % 50 = 0),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT q_id, doc_id, round(sum({_BM25_PART}), 6) AS score FROM tf JOIN bq USING (term) JOIN df USING (term), st GROUP BY q_id, doc_id),
+sc AS (SELECT q_id, doc_id, round(sum({_BM25_PART}), 6) AS score FROM tf JOIN bq USING (term) JOIN df USING (term), st WHERE doc_id <> q_id GROUP BY q_id, doc_id),
 sp AS (SELECT q_id, doc_id AS id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rk FROM sc),
 al AS (SELECT q_id, vec_id AS id, rk FROM dr WHERE rk <= 40 UNION ALL SELECT q_id, id, rk FROM sp WHERE rk <= 40),
 fu AS (SELECT q_id, id, round(sum(1 / (60::DOUBLE + rk)), 6) AS rrf FROM al GROUP BY q_id, id),
@@ -79,7 +76,7 @@ def _lists(spark, d, wanted=None):
     docs = _docs(spark, d)
     v, asked = _vectors(spark, d)
     questions = docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q_id"), "text")
-    lexical = retrieval.bm25(docs, questions, 40).select("q_id", F.col("doc_id").alias("id"), "rk", "score")
+    lexical = retrieval.bm25(docs, questions, 40, exclude_self=True).select("q_id", F.col("doc_id").alias("id"), "rk", "score")
     dense = retrieval.dense(v, asked, 40, wanted, exclude_self=True).select("q_id", F.col("vec_id").alias("id"), "rk", "sim")
     return dense, lexical
 

@@ -15,10 +15,14 @@ def test_two_writers(spark, tmp_path):
     base, manifest = second._state()
     first.upsert(rows(3).withColumn("v", F.lit("new")))
     with pytest.raises(Conflict):  # made from a version that is no longer the last
-        second._commit(rows(99), base, manifest["buckets"])
+        second._next(base, manifest)
     assert {r.k: r.v for r in second.read().collect()} == {i: "new" if i == 3 else f"v{i}" for i in range(20)}
     _, now = second._state()
-    assert sum(manifest["buckets"].get(k) != f for k, f in now["buckets"].items()) == 1  # one bucket was rewritten
+    assert now["buckets"] == manifest["buckets"] and [c["rows"] for c in now["changes"]] == [1]  # no bucket was rewritten
+    first.compact()
+    _, now = second._state()
+    assert sum(manifest["buckets"].get(k) != f for k, f in now["buckets"].items()) == 1 and not now["changes"]  # one bucket was
+    assert {r.k: r.v for r in second.read().collect()} == {i: "new" if i == 3 else f"v{i}" for i in range(20)}
     first.snapshot("kept")
     first.delete(F.col("k") >= 0)
     first.vacuum(keep=1)
