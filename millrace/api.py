@@ -16,6 +16,7 @@ from millrace.models import embedding, hashing_embedder
 from millrace.operators import chunking, cleaning, evaluate, layout, memory, profile, retrieval
 from millrace.plans.engine import Engine, Result
 from millrace.sources import files
+from millrace.sources.scratch import written
 from millrace.sources.store import Results, Table
 
 
@@ -32,6 +33,7 @@ class Workspace:
         self.embed = embedding(lambda: embed(dimensions))
         self.model = embed(dimensions)
         self.chunks = self._table("chunks", "chunk_id")
+        self.failed = self._table("failed", "file_id")
         self.messages, self.facts, self.feedback_rows = self._table("messages", "message_id"), self._table("facts", "fact_id"), self._table("feedback", "feedback_id")
         self.preference_rows, self.results = self._table("preferences", "preference_id"), Results(spark, f"{self.root}/results")
 
@@ -52,21 +54,43 @@ class Workspace:
         return sorted(self.engine.tables)
 
     # documents
-    def index(self, path: str, owner: str = retrieval.GLOBAL_OWNER) -> DataFrame:
-        """Read files, clean, chunk, embed and merge them; returns chunks by source. A source's old chunks go."""
-        read = files.documents(self.spark, path).where("kind <> 'error'")
+    def index(self, path: str, owner: str = retrieval.GLOBAL_OWNER, strict: bool = False) -> DataFrame:
+        """Read files, clean, chunk, embed and merge them; returns chunks by source.
+
+        Of a file that was read, the owner's old chunks go, also if it has no text now; other owners' and other files'
+        chunks stay, and are not written again. Files that can't be read (see `failures`) keep their old chunks; with
+        `strict` one of them stops the indexing before anything is written.
+        """
+        read = written(files.documents(self.spark, path), "read")
+        name = F.concat_ws("::", F.lit(owner), "path", F.when(F.col("page") >= 1000, F.col("page")))
+        failed = read.where("kind = 'error'").select(name.alias("file_id"), F.lit(owner).alias("owner_id"), "path", F.col("text").alias("reason"), (F.col("page") < 1000).alias("whole"))
+        if strict and (first := failed.limit(3).collect()):
+            raise ValueError("; ".join(f"{r.path}: {r.reason}" for r in first))
+        listed = files.listing(self.spark, path).select("path")
+        if self.failed.current():
+            self.failed.merge(failed, gone=self.failures(owner).join(listed, "path", "left_semi"))
+        else:
+            self.failed.write(failed)
+        paths = listed.join(failed.where("whole").select("path"), "path", "left_anti").withColumnRenamed("path", "doc_id")
+        read = read.where("kind <> 'error'")
         blocks = cleaning.clean(read.select(F.col("path").alias("doc_id"), "ord", "page", "text"), least=1, rejoin=False)
         whole = blocks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page", "text"))), lambda b: F.struct(b["page"].alias("page"), b["text"].alias("text"))).alias("blocks"))
         parts = chunking.fold(whole, chunking.contextual).withColumn("source", files.stem(F.col("doc_id")))
         done = chunking.finalise(parts, "doc_id").withColumns({"owner_id": F.lit(owner), "chunk_id": F.concat_ws("_", F.col("source"), F.lit("p"), F.col("page_start"), F.lit("n"), F.col("chunk_index")), "type": F.lit("text"), "embedding": self.embed(F.col("content"))})
-        done = done.withColumn("chunk_id", F.concat_ws("::", F.lit(owner), "chunk_id"))
+        # files of one name in several folders have chunks of their own
+        done = written(done.withColumn("chunk_id", F.concat_ws("::", F.lit(owner), F.substring(F.md5("doc_id"), 1, 12), "chunk_id")), "chunks")
         if self.chunks.current():
-            kept = self.chunks.read().join(done.select("doc_id").distinct(), "doc_id", "left_anti")
-            self.chunks.write(kept.unionByName(done))
+            old = self.chunks.read().where(F.col("owner_id") == owner).join(paths, "doc_id", "left_semi")
+            self.chunks.merge(done, gone=old.select("chunk_id"))
         else:
             self.chunks.write(done)
         return self.documents()
 
+    def failures(self, owner: str | None = None) -> DataFrame:
+        """Files, and attachments of mails (whole is false), that the last indexing couldn't read: file_id, owner_id, path, reason, whole."""
+        rows = self.failed.read()
+        return rows if owner is None else rows.where(F.col("owner_id") == owner)
+
     def documents(self, user: str | None = None, admin: bool = False) -> DataFrame:
         rows = self.chunks.read().where(retrieval.visible_to(user, admin))
         return profile.pivot_counts(rows, "source", "type", ["text", "table", "image"]).orderBy(F.col("chunks").desc(), "source")

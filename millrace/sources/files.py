@@ -30,6 +30,11 @@ def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content", F.md5("content").alias("file_hash"))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and modificationTime of every file below a path; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+
+
 def magic_fits(content: Column, extension: Column) -> Column:
     """Whether the first bytes are what the extension promises; other extensions always fit."""
     head = F.hex(F.substring(content, 1, 4))

@@ -34,3 +34,27 @@ def test_a_day_at_the_workspace(spark, tmp_path):
     w.rate("f1", -1, True)
     r = w.feedback().where("scope = 'all'").first()
     assert (r.total, r.not_helpful, r.escalated) == (1, 1, 1)
+
+
+def test_owners_errors_and_emptied_files(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/cats.txt").write_text("Cats sleep most of the day and purr when they are content.")
+    (tmp_path / "docs/ships.txt").write_text("Ships carry cargo over the sea from one harbour to another harbour.")
+    (tmp_path / "docs/odd.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "docs/more").mkdir()
+    (tmp_path / "docs/more/cats.txt").write_text("Another file of the same name about cats and their habits.")
+    for owner in ("u1", "u3"):
+        w.index(f"file://{tmp_path}/docs", owner)
+    count = lambda owner: {r.source: r.n for r in w.chunks.read().where(f"owner_id = '{owner}'").groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    assert count("u1") == count("u3") == {"cats": 2, "ships": 1}
+    assert [(r.owner_id, r.path.rsplit("/", 1)[-1], r.reason) for r in w.failures().orderBy("owner_id").collect()] == [("u1", "odd.bin", "no reader"), ("u3", "odd.bin", "no reader")]
+    before = w.chunks._state()[1]["buckets"]
+    (tmp_path / "docs/ships.txt").write_text("Ships sail.\n\nHarbours are where they rest over the winter months.")
+    (tmp_path / "docs/cats.txt").write_text("   \n ")
+    w.index(f"file://{tmp_path}/docs", "u1")
+    assert w.chunks._state()[1]["buckets"] == before  # only changes were written
+    assert count("u3") == {"cats": 2, "ships": 1}
+    assert w.chunks.read().where("owner_id = 'u1' AND content LIKE '%purr%'").count() == 0 and count("u1")["cats"] == 1
+    with pytest.raises(ValueError, match="no reader"):
+        w.index(f"file://{tmp_path}/docs", "u1", strict=True)
