@@ -35,3 +35,14 @@ def postings_updated(spark, d):
     new = docs.where("doc_id % 10 = 3").withColumn("text", F.concat_ws(" ", "text", "source"))
     index.upsert(new, removed=docs.where("doc_id % 10 = 7"))
     return index.search(_asked(docs), 10)
+
+
+@query("csv_quoted_lines", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS h, lang, source FROM documents WHERE text <> ''")
+def csv_quoted_lines(spark, d):
+    """Documents with their line breaks, quotes and separators, written as CSV and read in parallel."""
+    from millrace.sources.files import read_csv
+
+    path = scratch(spark, "quoted")
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text", "lang", "source")
+    docs.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv(spark, path, ",", True).select("doc_id", F.md5("text").alias("h"), "lang", "source")

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions.text import file_stem, html_to_text, strip
 from millrace.operators.profile import slugged
+from millrace.sources.records import records
 
 TEXT_TYPES = ("txt", "md", "json", "xml", "yaml", "yml", "sql", "log")
 #: First bytes of known file types, in hexadecimal.
@@ -75,17 +76,20 @@ def encoding_of(head: bytes) -> str:
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None, header: bool | None = None) -> DataFrame:
     """A CSV table with slugged columns. Rows with more fields than the header go, shorter ones are filled
-    with nulls. The separator and header are read off the first lines, through Spark."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    head = "\n".join(r.value for r in raw.limit(20).collect()).lstrip("﻿")
+    with nulls. The separator and header are read off the first lines, through Spark. Quoted fields may hold separators,
+    line breaks and doubled quotes; files are read in parallel all the same."""
+    raw = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    head = "\n".join(r.value for r in raw.limit(20).collect()).lstrip("\ufeff")
     found, has = sniff(head)
     separator, header = separator or found, has if header is None else header
-    first = next(csv.reader([head.splitlines()[0]], delimiter=separator)) if head else []
+    first = next(csv.reader(io.StringIO(head, newline=""), delimiter=separator)) if head else []
     names = first if header else [f"col_{i}" for i in range(len(first))]
     # one column more than there are names: what reaches it comes from a row with too many fields
     schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    rows = spark.read.schema(schema).option("sep", separator).option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
-    kept = rows.where(F.col(f"c{len(names)}").isNull()).drop(f"c{len(names)}")
+    rows = records(spark, path, separator)
+    rows = rows.where("line > 0") if header else rows.withColumn("value", F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    parsed = rows.select(F.from_csv("value", F.lit(schema), {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+    kept = parsed.where(F.col(f"c{len(names)}").isNull()).drop(f"c{len(names)}")
     return slugged(kept.toDF(*names))
 
 
