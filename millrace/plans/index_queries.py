@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import retrieval
 from millrace.plans.registry import query, table
-from millrace.plans.retrieval_queries import _BM25, EVERY
+from millrace.plans.retrieval_queries import _BM25, _DENSE, EVERY
 from millrace.sources.postings import Postings
 from millrace.sources.scratch import scratch
+from millrace.sources.vectors import VectorIndex
 
 
 def _asked(docs):
@@ -46,3 +48,26 @@ def csv_quoted_lines(spark, d):
     docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text", "lang", "source")
     docs.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_csv(spark, path, ",", True).select("doc_id", F.md5("text").alias("h"), "lang", "source")
+
+
+def _vector_queries(v):
+    return v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+
+
+@query("vector_index_topk", f"WITH {_DENSE} SELECT q_id, vec_id, sim, rk FROM dr WHERE rk <= 10")
+def vector_index_topk(spark, d):
+    """Every fiftieth vector is a query against the stored index of all vectors."""
+    v = table(spark, d, "embeddings")
+    index = VectorIndex(spark, scratch(spark, "vectors"), folder=500)
+    index.build(v)
+    return index.search(_vector_queries(v), 10, exclude_self=True)
+
+
+@query("vector_index_filtered", f"""WITH {_DENSE.replace("FROM embeddings e, dq WHERE e.vec_id <> q_id", "FROM embeddings e JOIN documents x ON x.doc_id = e.vec_id, dq WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2') AND e.vec_id % 10 <> 3")} SELECT q_id, vec_id, sim, rk FROM dr WHERE rk <= 5""")
+def vector_index_filtered(spark, d):
+    """The filter is pushed into the clusters' folders; a tenth of the vectors has gone."""
+    v = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id", "left")
+    index = VectorIndex(spark, scratch(spark, "vectors"), columns=["lang", "source"], folder=500)
+    index.build(v)
+    index.delete(v.where("vec_id % 10 = 3"))
+    return index.search(_vector_queries(v), 5, retrieval.payload_filter({"lang": "en", "source": ["src0", "src1", "src2"]}))

@@ -188,3 +188,32 @@ def test_racing_writers(spark, tmp_path):
 
     with ThreadPoolExecutor(8) as pool:
         assert sum(x is not None for x in pool.map(go, range(8))) == 1
+
+
+def test_a_vector_index_equals_a_scan(spark, tmp_path):
+    from millrace.sources.vectors import VectorIndex
+
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(12, 8)) * 4
+    vector = lambda i: (middle[i % 12] + r.normal(size=8) * 0.2).tolist()
+    odd = [(9001, None, "a"), (9002, [1.0], "a"), (9003, [float("nan")] * 8, "a"), (9004, [], "b")]
+    rows = {i: (i, vector(i), "ab"[i % 2]) for i in range(600)}
+    schema = "vec_id bigint, embedding array<double>, kind string"
+    put = lambda x: spark.createDataFrame(x, schema).repartition(3)
+    index = VectorIndex(spark, f"file://{tmp_path}/v", columns=["kind"], folder=50)
+    index.build(put([*rows.values(), *odd]))
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 600, 50)] + [(7777, [1.0]), (7778, None)], "q_id bigint, q array<double>")
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(index.search(asked, 4)) == got(retrieval.dense(put(list(rows.values())), asked.where("q_id < 600"), 4))
+    assert index.reads[0] < 0.6 * index.reads[1]  # clusters were ruled out
+    new = {i: (i, vector(i + 1), "c") for i in range(590, 640)}
+    index.upsert(put(list(new.values())))
+    index.delete(put([(i, None, None) for i in range(0, 30)]))
+    now = {i: x for i, x in (rows | new).items() if i >= 30}
+    want = got(retrieval.dense(put(list(now.values())).where("kind <> 'a'"), asked.where("q_id < 600"), 5, exclude_self=True))
+    assert got(index.search(asked, 5, F.col("kind") != "a", exclude_self=True)) == want
+    index.compact()
+    assert got(index.search(asked, 5, F.col("kind") != "a", exclude_self=True)) == want and index.read().count() == len(now)
+    empty = VectorIndex(spark, f"file://{tmp_path}/e", columns=["kind"])
+    empty.build(put([]).limit(0))
+    assert empty.search(asked, 3).count() == 0
