@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources.scratch import shared_folder, written
+from millrace.sources.scratch import written
 
 ROWS_A_CHUNK, MOST_VALUES, SHOWN_VALUES = 10_000, 20, 8
 
@@ -150,17 +150,13 @@ def permissions(grants: DataFrame) -> DataFrame:
 def descendants(folders: DataFrame, root: object, depth: int | None = None) -> DataFrame:
     """All folders below root (breadth first), or those up to a given depth: folder_id, depth; folders has
     folder_id and parent_id. Each level is one join with the level before; a folder that was met isn't met again,
-    so the levels end. Levels are checkpointed, so that plans don't grow with the tree."""
-    context = folders.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(folders.sparkSession))
-    level = folders.where(F.col("parent_id") == root).select("folder_id", F.lit(1).cast("bigint").alias("depth")).checkpoint()
-    found, k = level, 1
-    while (depth is None or k < depth) and level.limit(1).count():
-        k += 1
-        level = folders.join(level.select(F.col("folder_id").alias("parent_id")), "parent_id").select("folder_id", F.lit(k).cast("bigint").alias("depth")).join(found.select("folder_id"), "folder_id", "left_anti").distinct().checkpoint()
-        found = found.unionByName(level).checkpoint()
-    return found
+    so the levels end. Each level is written once, so plans don't grow with the tree."""
+    levels = [written(folders.where(F.col("parent_id") == root).select("folder_id", F.lit(1).cast("bigint").alias("depth")).distinct(), "level")]
+    while (depth is None or len(levels) < depth) and not levels[-1].isEmpty():
+        met = reduce(DataFrame.unionByName, levels)
+        below = folders.join(levels[-1].select(F.col("folder_id").alias("parent_id")), "parent_id").select("folder_id", F.lit(len(levels) + 1).cast("bigint").alias("depth"))
+        levels.append(written(below.join(met.select("folder_id"), "folder_id", "left_anti").distinct(), "level"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def union_by_source(first: DataFrame, second: DataFrame, source: str = "source") -> DataFrame:

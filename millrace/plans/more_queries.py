@@ -110,10 +110,9 @@ def table_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", T.table_slug(name).alias("slug"))
 
 
-@query("id_slugs", "SELECT * FROM (VALUES (0, 'resume_ete_2024'), (1, 'file'), (2, 'a_fin_b'), (3, 'uber_strae')) t(id, slug)")
+@query("id_slugs", "SELECT conv_id, turn, CASE WHEN s = '' THEN 'file' ELSE s END AS slug FROM (SELECT conv_id, turn, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS s FROM conversations)")
 def id_slugs(spark, d):
-    rows = ["Résumé – Été (2024)", "漢字", " a_ﬁn--B ", "Über Straße"]
-    return spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", T.id_slug(F.col("t")).alias("slug"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.id_slug(F.col("text")).alias("slug"))
 
 
 @query("upload_owner", "SELECT doc_id, CASE WHEN toxic = 1 OR doc_id % 7 = 0 THEN '__global__' ELSE 'u' || doc_id % 5 END AS owner_id FROM labels")
@@ -180,12 +179,11 @@ def think_strip(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.strip_think(raw).alias("reply"))
 
 
-@query("skip_unchanged", "SELECT o_orderkey AS table_name, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM orders WHERE o_orderkey % 10 < 8")
+@query("skip_unchanged", "SELECT coalesce(n.k, o.k) AS table_name, CASE WHEN n.k IS NULL OR n.h IS NOT DISTINCT FROM o.h THEN 'old' ELSE 'new' END AS state FROM (SELECT o_orderkey AS k, o_orderstatus AS h FROM orders) o FULL JOIN (SELECT o_orderkey + 4 AS k, o_orderstatus AS h FROM orders) n ON o.k = n.k")
 def skip_unchanged(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("table_name"), F.lit("h").alias("file_hash"))
-    old = rows.where("table_name % 10 < 8").withColumn("state", F.lit("old"))
-    fresh = old.withColumns({"file_hash": F.when(F.col("table_name") % 4 == 0, "h2").otherwise("h"), "state": F.lit("new")})
-    return profile.register(old, fresh).select("table_name", "state")
+    """The new entries' keys are moved by four: some are new, some are gone, the others have the same hash or another."""
+    row = lambda key, state: table(spark, d, "orders").select(key.alias("table_name"), F.col("o_orderstatus").alias("file_hash"), F.lit(state).alias("state"))
+    return profile.register(row(F.col("o_orderkey"), "old"), row(F.col("o_orderkey") + 4, "new")).select("table_name", "state")
 
 
 @query("last_answers", "SELECT question, place FROM (SELECT trim(text) AS question, conv_id * 1000 + turn AS place, row_number() OVER (PARTITION BY trim(text) ORDER BY conv_id * 1000 + turn DESC) AS n FROM conversations WHERE text IS NOT NULL) WHERE n = 1")
@@ -228,10 +226,17 @@ def figure_captions(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(chunking.figures(raw), ",").alias("captions"))
 
 
-@query("magic_bytes", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false)) t(id, fits)")
+_EXTENSIONS = ("pdf", "DOCX", "png", "jpg", "txt")
+
+
+@query("magic_bytes", "SELECT page_id, page_id % 5 = 4 OR page_id % 2 = 0 AS fits FROM pages WHERE html IS NOT NULL")
 def magic_bytes(spark, d):
-    rows = [(0, bytearray(b"%PDF-1.7"), "pdf"), (1, bytearray(b"PK\x03\x04"), "pdf"), (2, bytearray(b"PK\x03\x04x"), "DOCX"), (3, bytearray(b"any"), "txt"), (4, bytearray(b""), "png")]
-    return spark.createDataFrame(rows, "id int, content binary, ext string").select("id", files.magic_fits(F.col("content"), F.col("ext")).alias("fits"))
+    """Pages as uploads of several types, every other one behind its type's first bytes."""
+    pages = table(spark, d, "pages").where("html IS NOT NULL")
+    ext = F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), (F.col("page_id") % 5 + 1).cast("int"))
+    mark = F.element_at(F.create_map(*[F.lit(x) for pair in files.MAGIC.items() for x in pair]), F.lower(ext))
+    content = F.when(F.col("page_id") % 2 == 0, F.unhex(F.concat(F.coalesce(mark, F.lit("")), F.hex(F.encode("html", "utf-8"))))).otherwise(F.encode("html", "utf-8"))
+    return pages.select("page_id", files.magic_fits(content, ext).alias("fits"))
 
 
 @query("word_lines", "SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY l) - 1 AS BIGINT) AS ord, md5(string_agg(t, ' ' ORDER BY x, t)) AS h FROM (SELECT l_suppkey AS page, l_linenumber AS l, CAST(l_orderkey AS DOUBLE) AS x, 'w' || l_partkey AS t FROM lineitem) GROUP BY page, l")

@@ -227,8 +227,30 @@ def context_until_overflow(spark, d):
     return context.until_overflow(docs, 6000, "source").select("source", "doc_id")
 
 
-@query("citations", "SELECT * FROM (VALUES ('a', 'report.pdf', 3), ('b', 'report.pdf', 3), ('b', 'report.pdf', 4), ('c', 'report.pdf', 3)) t(answer_id, source, page)")
+@query(
+    "citations",
+    """WITH c AS (SELECT doc_id AS answer_id, f.source, doc_id % 4 + p AS page, documents.source || '.txt' AS own, doc_id % 3 = 0 AS also FROM documents, (VALUES (0), (1)) t(p), LATERAL (SELECT unnest([documents.source || '.txt', 'src1.pdf']) AS source) f)
+SELECT DISTINCT answer_id, source, page FROM c WHERE (string_split(source, '.')[1] = string_split(own, '.')[1] AND page = answer_id % 4) OR (also AND string_split(source, '.')[1] = 'src1')""",
+)
 def citations(spark, d):
-    answers = spark.createDataFrame([("a", "Up 12 % [Source: report.pdf, page 3]."), ("b", "See [Source: Report.pdf]"), ("c", "x [Source: report, page 3] y"), ("d", "none [Source: other.pdf, page 3]")], "answer_id string, answer string")
-    chunks = spark.createDataFrame([(a, "report.pdf", p) for a in "abcd" for p in (3, 4)], "answer_id string, source string, page int")
+    """Each document is an answer that cites its own source with a page, and every third one another without a page."""
+    docs = _docs(spark, d)
+    page = (F.col("doc_id") % 4).cast("int")
+    own = F.concat(F.lit(" [Source: "), F.col("source"), F.lit(".txt, page "), page, F.lit("]."))
+    answers = docs.select(F.col("doc_id").alias("answer_id"), F.concat("text", own, F.when(F.col("doc_id") % 3 == 0, " and [Source: SRC1]").otherwise("")).alias("answer"))
+    chunks = docs.select(F.col("doc_id").alias("answer_id"), F.explode(F.array(F.concat("source", F.lit(".txt")), F.lit("src1.pdf"))).alias("source"), page.alias("first")).select("answer_id", "source", F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("page"))
     return context.match_citations(answers, chunks)
+
+
+@query(
+    "mmr_top5",
+    f"""WITH RECURSIVE {_DENSE}, c AS (SELECT q_id, vec_id, sim, rk, sim / max(sim) OVER w AS rel, max(sim) OVER w - min(sim) OVER w < 0.01::DOUBLE AS flat, CAST(embedding AS DOUBLE[]) AS e FROM dr JOIN embeddings USING (vec_id) WHERE rk <= 20 WINDOW w AS (PARTITION BY q_id)),
+l AS (SELECT q_id, list(e ORDER BY rk) AS es FROM c GROUP BY q_id), s AS (SELECT c.q_id, c.vec_id, c.sim, c.rk, c.rel, c.flat, list_transform(es, lambda x: list_dot_product(x, e)) AS near FROM c JOIN l ON l.q_id = c.q_id),
+r AS (SELECT q_id, CAST(1 AS BIGINT) AS pos, [rk] AS taken, vec_id FROM s WHERE rk = 1
+UNION ALL SELECT q_id, pos, taken, vec_id FROM (SELECT r.q_id, r.pos + 1 AS pos, list_append(r.taken, s.rk) AS taken, s.vec_id, row_number() OVER (PARTITION BY r.q_id ORDER BY CASE WHEN flat THEN -s.rk ELSE 0.5::DOUBLE * rel - 0.5::DOUBLE * list_max(list_transform(r.taken, lambda k: near[k])) END DESC, s.rk) AS n FROM r JOIN s ON s.q_id = r.q_id WHERE r.pos < 5 AND NOT list_contains(r.taken, s.rk)) WHERE n = 1)
+SELECT q_id, vec_id, pos FROM r""",
+)
+def mmr_top5(spark, d):
+    v, asked = _vectors(spark, d)
+    hits = retrieval.dense(v, asked, 20, exclude_self=True).join(v.select("vec_id", "embedding"), "vec_id")
+    return retrieval.diverse(hits.withColumn("score", F.col("sim")), 5)

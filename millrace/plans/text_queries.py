@@ -167,10 +167,14 @@ def valley_boundaries(spark, d):
     return chunking.valleys(sims, "lang")
 
 
-@query("no_answer_flag", "SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, false), (4, true)) t(id, flag)")
+_REPLY = "CASE turn % 3 WHEN 0 THEN 'I don''t have enough information. ' || text WHEN 1 THEN text || ' It is not discussed in the report' ELSE text END"
+
+
+@query("no_answer_flag", f"SELECT conv_id, turn, regexp_matches({_REPLY}, '{T.NO_ANSWER.replace(chr(39), chr(39) * 2)}') AS flag FROM conversations")
 def no_answer_flag(spark, d):
-    rows = ["I don't have enough information.", "The context does not mention it", "I cannot determine that", "Revenue rose.", "It is not discussed in the report"]
-    return spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", T.no_answer(F.col("t")).alias("flag"))
+    kind = F.col("turn") % 3
+    reply = F.when(kind == 0, F.concat(F.lit("I don't have enough information. "), F.col("text"))).when(kind == 1, F.concat(F.col("text"), F.lit(" It is not discussed in the report"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.no_answer(reply).alias("flag"))
 
 
 @query("fast_escalation", "SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(escalat(e|ing|ion)|transfer\\s+me|live\\s+(chat|agent|support)|real\\s+person|(speak|talk)\\s+to\\s+(a\\s+)?(human|agent|person|manager|representative|rep|supervisor)|connect\\s+me\\s+(with|to)\\s+(a\\s+)?(human|agent|person|manager|representative))\\b') AS flag FROM conversations")
@@ -185,7 +189,9 @@ def question_normalise(spark, d):
     return turns.select("conv_id", "turn", T.question_of(prompt).alias("q"))
 
 
-@query("table_prose", "SELECT * FROM (VALUES ('Name: Alice, Score: 95' || chr(10) || 'Name: Bob, Score: 82')) t(content)")
+@query("table_prose", "SELECT p_brand, string_agg('Key: ' || p_partkey || ', Name: ' || p_name || CASE WHEN p_size % 2 = 0 THEN ', Size: ' || p_size ELSE '' END, chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand")
 def table_prose(spark, d):
-    rows = spark.createDataFrame([([["Name", "Score"], ["Alice", "95"], ["Bob", "82"]],)], "r array<array<string>>")
-    return rows.select(T.prose_rows(F.col("r")).alias("content"))
+    size = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(" ")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", size.alias("size")))), lambda x: F.array(x["p_partkey"].cast("string"), x["p_name"], x["size"]))
+    tables = table(spark, d, "part").groupBy("p_brand").agg(F.concat(F.array(F.array(F.lit("Key"), F.lit("Name"), F.lit("Size"))), rows).alias("r"))
+    return tables.select("p_brand", T.prose_rows(F.col("r")).alias("content"))
