@@ -35,25 +35,56 @@ def distinct(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+#: Classes of characters that bound how alike two texts can be.
+_CLASSES = 64
+
+
+def new_blocks(keys: list[str], ratio: float = 0.92, window: int = 6, shrinking: bool = False) -> tuple[list[bool], int]:
+    """Which keys resemble none of the `window` kept before them, and how many pairs were aligned.
+
+    Two texts' ratio is at most twice the characters that they share, order aside, over the sum of their lengths. Only pairs
+    whose bound reaches the ratio are aligned; equal texts need no alignment.
+    """
+    import difflib
+
+    import numpy as np
+
+    counts = np.zeros((len(keys), _CLASSES), np.int32)
+    for i, key in enumerate(keys):
+        counts[i] = np.bincount(np.frombuffer(key.encode("utf-32-le"), np.uint32) % _CLASSES, minlength=_CLASSES)
+    size = counts.sum(1)
+    kept: list[int] = []
+    mask, aligned = [], 0
+    for i, key in enumerate(keys):
+        recent = kept[max(0, i - window) :] if shrinking else kept[-window:]
+        shared = np.minimum(counts[recent], counts[i]).sum(1)
+        new, aligner = True, difflib.SequenceMatcher(None, key)
+        for j in [r for r, most in zip(recent, 2 * shared - ratio * (size[recent] + size[i]), strict=True) if most >= -1e-6]:
+            if keys[j] == key:
+                new = False
+                break
+            aligned += 1
+            aligner.set_seq2(keys[j])
+            if aligner.ratio() >= ratio:
+                new = False
+                break
+        mask.append(new)
+        if new:
+            kept.append(i)
+    return mask, aligned
+
+
 def without_near_copies(blocks: DataFrame, ratio: float = 0.92, chars: int = 500, window: int = 6, shrinking: bool = False) -> DataFrame:
     """Blocks that resemble one of the `window` kept before them go. `shrinking` narrows the window by each
-    block removed, down to none, as an older behaviour did."""
-    import difflib
+    block removed, down to none, as an older behaviour did. Null texts count as empty.
 
+    Where a document has no two blocks whose bounds of likeness reach the ratio, nothing is aligned.
+    """
     import pandas as pd
 
     def keep(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ord")
-        kept: list[str] = []
-        mask = []
-        for i, text in enumerate(g["text"]):
-            key = (text or "").lower().strip()[:chars]
-            recent = kept[max(0, i - window) :] if shrinking else kept[-window:]
-            new = not any(difflib.SequenceMatcher(None, key, other).ratio() >= ratio for other in recent)
-            mask.append(new)
-            if new:
-                kept.append(key)
-        return g[mask]
+        return g[new_blocks([(text or "").lower().strip()[:chars] for text in g["text"]], ratio, window, shrinking)[0]]
 
     return blocks.groupBy("doc_id").applyInPandas(keep, blocks.schema)
 

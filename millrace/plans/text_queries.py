@@ -145,14 +145,66 @@ def chunk_strategy(spark, d):
     return chunking.strategy(chunking.structure(_blocks(spark, d))).select("doc_id", "strategy")
 
 
-@query("contextual_chunks")
+_TOK = "greatest(1, {} // 4)"
+_ABBREVIATIONS = ", ".join(f"'{w}'" for w in chunking.ABBREVIATIONS)
+_BOOK = "array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i % 5 = 3 THEN repeat('#', 1 + i % 3) || ' ' || substring(x, 1, 20) || chr(10) || chr(10) || x ELSE x END), chr(10) || chr(10))"
+
+
+def _books(spark, d):
+    """Documents with their lines as paragraphs, every fifth one under a heading of its first letters."""
+    with_heads = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when((i + 1) % 5 == 3, F.concat(F.repeat(F.lit("#"), 1 + (i + 1) % 3), F.lit(" "), F.substring(x, 1, 20), F.lit("\n\n"), x)).otherwise(x))
+    return _docs(spark, d).select("doc_id", F.array_join(with_heads, "\n\n").alias("text"))
+
+
+#: Paragraphs n of each document: p, its heading level (null for body text) and title.
+_PARAGRAPHS = rf"""pl AS (SELECT doc_id, list_filter(list_transform(string_split_regex({_BOOK}, '\n{{2,}}'), lambda x: {_trim('x')}), lambda x: x <> '') AS l FROM documents),
+pn AS (SELECT doc_id, CAST(n AS BIGINT) AS n, l[n] AS p FROM pl, unnest(range(1, len(l) + 1)) AS t(n)),
+pg AS (SELECT doc_id, n, p, CASE WHEN regexp_matches(p, '^#{{1,6}}\s+\S') AND NOT contains(p, chr(10)) THEN length(regexp_extract(p, '^#+')) WHEN regexp_matches(p, '^[A-Z][A-Z\s\-]{{3,}}$') AND length(p) <= 80 THEN 1 END AS level, regexp_replace(p, '^#+\s+', '') AS title FROM pn)"""
+#: Sentences k of the texts of `src` (doc_id, r, i, t): a piece ends after end signs and blanks, unless an abbreviation stands there.
+_SENTENCES = rf"""pc AS (SELECT doc_id, r, i, CAST(k AS BIGINT) AS k, x[k] AS piece, len(x) AS many FROM (SELECT doc_id, r, i, string_split(regexp_replace(t, '([.!?]+["'')\]]*\s+)', '\1' || chr(57344), 'g'), chr(57344)) AS x FROM src), unnest(range(1, len(x) + 1)) AS t(k)),
+pb AS (SELECT *, coalesce(sum(CASE WHEN lower(regexp_extract({_trim('piece')}, '([\p{{L}}\p{{N}}_.]+)\.$', 1)) IN ({_ABBREVIATIONS}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, r, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pc),
+se AS (SELECT doc_id, r, i, b, {_trim("string_agg(piece, '' ORDER BY k)")} AS t FROM pb GROUP BY doc_id, r, i, b)"""
+
+
+def _packed(joiner: str) -> str:
+    """Parts u (doc_id, r, t, m: place in r) together up to 300 tokens: pk."""
+    return f"""pr AS (SELECT doc_id, r, m, {_TOK.format('length(t)')} AS c FROM u), pf AS (SELECT doc_id, r, m, c AS size, CAST(1 AS BIGINT) AS chunk FROM pr WHERE m = 1
+UNION ALL SELECT pr.doc_id, pr.r, pr.m, CASE WHEN size + c > 300 THEN c ELSE size + c END, CASE WHEN size + c > 300 THEN chunk + 1 ELSE chunk END FROM pf JOIN pr ON pr.doc_id = pf.doc_id AND pr.r = pf.r AND pr.m = pf.m + 1),
+pk AS (SELECT doc_id, r, chunk, string_agg(t, {joiner} ORDER BY m) AS t FROM pf JOIN u USING (doc_id, r, m) GROUP BY doc_id, r, chunk)"""
+
+
+@query(
+    "contextual_chunks",
+    f"""WITH RECURSIVE {_PARAGRAPHS}, sx AS (SELECT doc_id, n, p, level, last_value(CASE WHEN level IS NOT NULL THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM pg),
+bo AS (SELECT doc_id, section, p, length(p) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS j FROM sx WHERE level IS NULL),
+f AS (SELECT doc_id, j, section, len, CAST(1 AS BIGINT) AS r FROM bo WHERE j = 1 UNION ALL SELECT doc_id, j, section, CASE WHEN same THEN held + 1 + len ELSE len END, CASE WHEN same THEN r ELSE r + 1 END
+FROM (SELECT bo.doc_id, bo.j, bo.section, bo.len, f.len AS held, f.r, f.section IS NOT DISTINCT FROM bo.section AND least({_TOK.format('f.len')}, {_TOK.format('bo.len')}) < 30 AND {_TOK.format('f.len')} + {_TOK.format('bo.len')} <= 300 AS same FROM f JOIN bo ON bo.doc_id = f.doc_id AND bo.j = f.j + 1)),
+h AS (SELECT doc_id, r, any_value(f.section) AS section, string_agg(p, chr(10) ORDER BY j) AS t FROM f JOIN bo USING (doc_id, j) GROUP BY doc_id, r),
+src AS (SELECT doc_id, r, 0 AS i, t FROM h WHERE {_TOK.format('length(t)')} > 300), {_SENTENCES}, u AS (SELECT doc_id, r, t, row_number() OVER (PARTITION BY doc_id, r ORDER BY b) AS m FROM se WHERE t <> ''), {_packed("' '")},
+al AS (SELECT doc_id, r, 0 AS chunk, section, t FROM h WHERE {_TOK.format('length(t)')} <= 300 UNION ALL SELECT doc_id, r, chunk, section, pk.t FROM pk JOIN h USING (doc_id, r))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, chunk) - 1 AS ord, section, md5(CASE WHEN section <> '' THEN '[' || section || '] ' ELSE '' END || t) AS h FROM al""",
+)
 def contextual_chunks(spark, d):
-    return chunking.fold(chunking.as_blocks(_docs(spark, d)), chunking.contextual).select("doc_id", "ord", "section", F.md5("content").alias("h"))
+    return chunking.fold(chunking.as_blocks(_books(spark, d)), chunking.contextual).select("doc_id", "ord", "section", F.md5("content").alias("h"))
+
 
+_LEVELS = range(1, 7)
+_HEADS = ", ".join(f"last_value(CASE WHEN level = {k} THEN {{'at': n, 'title': title}} END IGNORE NULLS) OVER w AS h{k}" for k in _LEVELS)
+#: A level's last heading is open unless one of a higher rank came after it.
+_OPEN = ", ".join(f"CASE WHEN h{k}.at > greatest(0, {', '.join(f'coalesce(h{x}.at, 0)' for x in range(1, k)) or 0}) THEN h{k}.title END AS t{k}" for k in _LEVELS)
 
-@query("hierarchical_chunks")
+
+@query(
+    "hierarchical_chunks",
+    f"""WITH RECURSIVE {_PARAGRAPHS}, hs AS (SELECT doc_id, n, p, level, count(level) OVER w AS r, {_HEADS} FROM pg WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+op AS (SELECT doc_id, n, p, level, r, {_OPEN} FROM hs), bo AS (SELECT doc_id, r, n AS i, p, concat_ws(' > ', t1, t2, t3, t4, t5, t6) AS path, coalesce(t6, t5, t4, t3, t2, t1) AS section FROM op WHERE level IS NULL),
+src AS (SELECT doc_id, r, i, p AS t FROM bo WHERE {_TOK.format('length(p)')} > 300), {_SENTENCES},
+u AS (SELECT doc_id, r, t, row_number() OVER (PARTITION BY doc_id, r ORDER BY i, b) AS m FROM (SELECT doc_id, r, i, 0 AS b, p AS t FROM bo WHERE {_TOK.format('length(p)')} <= 300 UNION ALL SELECT doc_id, r, i, b, t FROM se WHERE t <> '')), {_packed("chr(10)")},
+nm AS (SELECT DISTINCT doc_id, r, path, section FROM bo)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, chunk) - 1 AS ord, section, md5(CASE WHEN path <> '' THEN '[' || path || '] ' ELSE '' END || t) AS h FROM pk JOIN nm USING (doc_id, r)""",
+)
 def hierarchical_chunks(spark, d):
-    return chunking.fold(chunking.as_blocks(_docs(spark, d)), chunking.hierarchical).select("doc_id", "ord", "section", F.md5("content").alias("h"))
+    return chunking.fold(chunking.as_blocks(_books(spark, d)), chunking.hierarchical).select("doc_id", "ord", "section", F.md5("content").alias("h"))
 
 
 @query("chunk_finalise", f"WITH c AS (SELECT source, doc_id, {_trim(_chain('text', _CHUNK))} AS content FROM documents), f AS (SELECT * FROM c WHERE content <> '') SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chunk_index, count(*) OVER (PARTITION BY source) AS chunk_total, CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count FROM f")
