@@ -54,7 +54,7 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("h"))
 
 
-@query("html_tables")
+@query("html_tables", "SELECT page_id, CAST(coalesce(len(list_filter(regexp_extract_all(html, '(?is)<table.*?</table>'), lambda x: regexp_matches(x, '(?i)<t[dh]'))), 0) AS BIGINT) AS n FROM pages")
 def html_tables(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(files.html_tables("html")).cast("bigint").alias("n"))
 
@@ -90,19 +90,28 @@ def exact_dedup(spark, d):
     return cleaning.distinct(_blocks(spark, d)).select("doc_id", "ord")
 
 
-@query(
-    "rejoin_fragments",
-    f"""WITH {_LINES}, a AS (SELECT *, lag(text) OVER w AS b, lag(page) OVER w AS bp FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+def _rejoin(src: str) -> str:
+    """Islands i of blocks of `src` that are one: f, with the part p of each block."""
+    return f"""a AS (SELECT *, lag(text) OVER w AS b, lag(page) OVER w AS bp FROM {src} WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 c AS (SELECT *, coalesce(regexp_matches(b, '-\\s*$'), false) AS glue, coalesce(bp = page AND (regexp_matches(b, '-\\s*$') OR (regexp_matches(b, '[a-zA-ZÀ-ÿ0-9]$') AND regexp_matches(text, '^[a-zàâéèêëîïôùûüÿœæç]'))), false) AS jn FROM a),
 e AS (SELECT *, sum(CASE WHEN jn THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS i, coalesce(lead(glue) OVER w AND lead(jn) OVER w, false) AS cut FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
-f AS (SELECT doc_id, i, ord, CASE WHEN jn AND NOT glue THEN ' ' ELSE '' END || CASE WHEN cut THEN regexp_replace(text, '-\\s*$', '') ELSE text END AS p FROM e)
-SELECT doc_id, min(ord) AS ord, md5(string_agg(p, '' ORDER BY ord)) AS h FROM f GROUP BY doc_id, i""",
-)
+f AS (SELECT doc_id, i, ord, page, CASE WHEN jn AND NOT glue THEN ' ' ELSE '' END || CASE WHEN cut THEN regexp_replace(text, '-\\s*$', '') ELSE text END AS p FROM e)"""
+
+
+@query("rejoin_fragments", f"WITH {_LINES}, {_rejoin('ln')} SELECT doc_id, min(ord) AS ord, md5(string_agg(p, '' ORDER BY ord)) AS h FROM f GROUP BY doc_id, i")
 def rejoin_fragments(spark, d):
     return cleaning.rejoined(_blocks(spark, d)).select("doc_id", "ord", F.md5("text").alias("h"))
 
 
-@query("clean_pipeline")
+_TIDY = _trim(r"regexp_replace(regexp_replace({}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]{{2,}}', ' ', 'g')")
+
+
+@query(
+    "clean_pipeline",
+    f"""WITH {_LINES}, t1 AS (SELECT doc_id, ord, page, {_TIDY.format('text')} AS text FROM ln), t2 AS (SELECT *, lower(text) AS k, count(*) OVER (PARTITION BY doc_id, lower(text)) AS n FROM t1 WHERE NOT {_NOISE}),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY ord) AS f FROM t2 WHERE NOT (length(k) < 80 AND n >= 3)), t4 AS (SELECT doc_id, ord, page, text FROM t3 WHERE f = 1), {_rejoin('t4')},
+g AS (SELECT doc_id, min(ord) AS ord, min(page) AS page, {_TIDY.format("string_agg(p, '' ORDER BY ord)")} AS text FROM f GROUP BY doc_id, i) SELECT doc_id, ord, page, md5(text) AS h FROM g WHERE NOT {_NOISE}""",
+)
 def clean_pipeline(spark, d):
     return cleaning.clean(_blocks(spark, d)).select("doc_id", "ord", "page", F.md5("text").alias("h"))
 
