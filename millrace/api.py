@@ -16,6 +16,7 @@ from millrace.models import embedding, hashing_embedder
 from millrace.operators import chunking, cleaning, evaluate, layout, memory, profile, retrieval
 from millrace.plans.engine import Engine, Result
 from millrace.sources import files
+from millrace.sources.postings import Postings
 from millrace.sources.scratch import written
 from millrace.sources.store import Results, Table
 
@@ -34,6 +35,7 @@ class Workspace:
         self.model = embed(dimensions)
         self.chunks = self._table("chunks", "chunk_id")
         self.failed = self._table("failed", "file_id")
+        self.words = Postings(spark, f"{self.root}/words", "chunk_id", "content", folders=16)
         self.messages, self.facts, self.feedback_rows = self._table("messages", "message_id"), self._table("facts", "fact_id"), self._table("feedback", "feedback_id")
         self.preference_rows, self.results = self._table("preferences", "preference_id"), Results(spark, f"{self.root}/results")
 
@@ -80,10 +82,12 @@ class Workspace:
         # files of one name in several folders have chunks of their own
         done = written(done.withColumn("chunk_id", F.concat_ws("::", F.lit(owner), F.substring(F.md5("doc_id"), 1, 12), "chunk_id")), "chunks")
         if self.chunks.current():
-            old = self.chunks.read().where(F.col("owner_id") == owner).join(paths, "doc_id", "left_semi")
-            self.chunks.merge(done, gone=old.select("chunk_id"))
+            old = written(self.chunks.read().where(F.col("owner_id") == owner).join(paths, "doc_id", "left_semi").select("chunk_id"), "old")
+            self.chunks.merge(done, gone=old)
+            self.words.upsert(done, removed=old)
         else:
             self.chunks.write(done)
+            self.words.build(done)
         return self.documents()
 
     def failures(self, owner: str | None = None) -> DataFrame:
@@ -99,10 +103,12 @@ class Workspace:
         return self.chunks.of_document(doc_id, limit=limit)
 
     def delete(self, source: str, owner: str = retrieval.GLOBAL_OWNER) -> str:
-        return self.chunks.delete((F.col("source") == source) & (F.col("owner_id") == owner))
+        mine = (F.col("source") == source) & (F.col("owner_id") == owner)
+        self.words.delete(self.chunks.read().where(mine).select("chunk_id"))
+        return self.chunks.delete(mine)
 
     def search(self, question: str, limit: int = 10, prefetch: int = 40, min_score: float = 0.0, filters: dict | None = None, user: str | None = None, admin: bool = False, window: int = 0, decompose: Callable[[str], list[str]] | None = None, imagine: Callable[[str], str] | None = None) -> DataFrame:
-        """Hybrid search: filter, then dense and lexical candidates, fused, limited, and cut at min_score. A window
+        """Hybrid search: filter, then dense candidates and lexical ones from the stored index, fused, limited, and cut at min_score. A window
         adds the neighbours of each hit (is_primary tells them apart).
 
         decompose turns the question into sub-questions, whose hits are merged by their best score; imagine
@@ -118,7 +124,8 @@ class Workspace:
         vectors = self.model([imagine(p) if imagine else p for p in parts])
         dense = retrieval.dense(rows, list(enumerate(vectors)), k, id_col="chunk_id").select("q_id", "chunk_id", "rk")
         asked = self.spark.createDataFrame(list(enumerate(parts)), "q_id bigint, text string")
-        lexical = retrieval.bm25(rows, asked, k, "chunk_id", "content").select("q_id", "chunk_id", "rk")
+        mine = None if not filters and (admin or user is None) else rows.select("chunk_id")
+        lexical = self.words.search(asked, k, allowed=mine).select("q_id", "chunk_id", "rk")
         hits = retrieval.fuse([dense, lexical], "chunk_id", limit)
         if len(parts) > 1:
             best = hits.groupBy("chunk_id").agg(F.max("rrf").alias("rrf")).withColumn("q_id", F.lit(0).cast("bigint"))

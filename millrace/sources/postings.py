@@ -136,13 +136,14 @@ class Postings(Versions):
         _, manifest = self._state()
         return tuple(sum(p[c] for p in manifest["parts"]) - sum(g[c] for g in manifest["gone"]) for c in ("n", "total"))
 
-    def search(self, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, digits: int = 6, allowed: DataFrame | None = None) -> DataFrame:
         """q_id, id, score and rk of each query's k best documents, the same rows as retrieval.bm25 gives for the documents
         that are there; queries has q_id and text.
 
         Blocks of the queries' terms are read, other terms' aren't. Some segments are searched first; the kth best
         score found there is a bound for the others: where a query's terms can't add up to it in a segment, going by
         their blocks' bounds, the query skips the segment, and blocks that no query wants aren't unpacked.
+        With `allowed` (ids) only these documents are ranked; frequencies and lengths stay those of all documents.
         """
         _, manifest = self._state()
         n, total = self.statistics()
@@ -156,7 +157,12 @@ class Postings(Versions):
             less = self.spark.read.schema("term string, less bigint").parquet(*self._folders(manifest, "terms", "gone")).groupBy("term").agg(F.sum("less").alias("less"))
             df = df.join(less, "term", "left").select("term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df")).where("df > 0")
         weighed = written(asked.join(df, "term").select("q_id", "term", retrieval.query_weight(n, total / n).alias("weight")), "weighed")
-        gone = self._gone(manifest).groupBy("segment").agg(F.flatten(F.collect_list("places")).alias("places"))
+        lost = self._gone(manifest)
+        if allowed is not None:
+            ids = allowed.select(F.col(self.id_col).alias("allowed_id"))
+            others = self._documents(manifest).join(ids, F.col("id").eqNullSafe(F.col("allowed_id")), "left_anti")
+            lost = lost.unionByName(others.select("segment", F.array("place").alias("places")))
+        gone = lost.groupBy("segment").agg(F.flatten(F.collect_list("places")).alias("places"))
         both = blocks.select("segment", "term", "places", "tfs", "dls", "most_tf", "least_dl").unionByName(gone, allowMissingColumns=True)
         segments = sum(p["segments"] for p in manifest["parts"])
         parts, out = search.batches_of(weighed, F.length("term") + 24), []

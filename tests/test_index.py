@@ -70,6 +70,8 @@ def test_postings_follow_their_documents(spark, tmp_path, monkeypatch):
     now = {i: t for i, t in (now | {41: None, 42: "w1 w1 w1", 300: "w7"}).items() if not 60 <= i < 80}
     want = sorted(by_hand(now, queries, 5))
     close(found(index.search(asked, 5)), want)
+    some = frame(spark, {i: "" for i in now if i % 3 == 0})
+    close(found(index.search(asked, 5, allowed=some)), sorted((q, i, s, n) for q in queries for n, (_, i, s, _) in enumerate([w for w in by_hand(now, queries, 10**6) if w[0] == q and w[1] % 3 == 0][:5], 1)))
     lengths = [len(t.split()) for t in now.values() if t and t.split()]
     assert index.statistics() == (len(lengths), sum(lengths))
     monkeypatch.setattr(search, "BATCH_BYTES", 60)  # one batch after the other
