@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import retrieval
+from millrace.operators import calibration, factors, retrieval
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import _BM25, _DENSE, EVERY
 from millrace.sources.postings import Postings
-from millrace.sources.scratch import scratch
+from millrace.sources.scratch import scratch, written
 from millrace.sources.vectors import VectorIndex
 
 
@@ -92,6 +92,40 @@ def language_learnt(spark, d):
     return language.guessed(docs, written(language.learn(docs), "languages")).select("doc_id", "language")
 
 
+def diversity(text):
+    """A text's share of distinct words, as a cell; null without words."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return F.when(F.size(words) > 0, F.least(F.floor(F.size(F.array_distinct(words)) * calibration.CELLS / F.size(words)), F.lit(calibration.CELLS - 1)).cast("int"))
+
+
+@query(
+    "calibrated_confidence",
+    """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents), d AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN least(len(list_distinct(w)) * 1024 // len(w), 1023) END::INTEGER AS cell FROM t),
+g AS (SELECT cell, count(*) AS n, sum(quality) AS yes FROM d JOIN labels USING (doc_id) WHERE cell IS NOT NULL AND quality IN (0, 1) GROUP BY cell),
+p AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i, sum(n) OVER (ORDER BY cell) AS n, sum(yes) OVER (ORDER BY cell) AS yes FROM g), z AS (SELECT i, n, yes FROM p UNION ALL SELECT 0, 0, 0),
+jk AS (SELECT a.i AS j, b.i AS k, (b.yes - a.yes)::DOUBLE / (b.n - a.n)::DOUBLE AS share FROM z a JOIN z b ON a.i < b.i),
+low AS (SELECT j, k AS i, min(share) OVER (PARTITION BY j ORDER BY k DESC) AS least_share FROM jk), iso AS (SELECT i, max(least_share) AS confidence FROM low GROUP BY i),
+known AS (SELECT p.cell, iso.confidence FROM p JOIN iso USING (i)),
+c AS (SELECT cell, coalesce((SELECT max_by(confidence, known.cell) FROM known WHERE known.cell <= s.cell), (SELECT min_by(confidence, known.cell) FROM known)) AS confidence FROM (SELECT DISTINCT cell FROM d WHERE cell IS NOT NULL) s)
+SELECT d.doc_id, d.cell, c.confidence FROM d LEFT JOIN c ON c.cell = d.cell""",
+)
+def calibrated_confidence(spark, d):
+    """Each document's chance of being labelled good by its share of distinct words, learnt from all labelled ones."""
+    docs = written(table(spark, d, "documents").select("doc_id", diversity(F.col("text")).alias("cell")), "cells")
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return docs.withColumn("confidence", calibration.confidence(F.col("cell"), calibration.learn(docs.join(labels, "doc_id"))))
+
+
+@query("factor_neighbours")
+def factor_neighbours(spark, d):
+    """The five nearest documents of every fiftieth one, by embeddings that are learnt from the documents."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    run = factors.embedding(spark, factors.fit(docs))
+    vectors = written(docs.select("doc_id", run(F.col("text")).alias("embedding")), "factors")
+    asked = vectors.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q_id"), F.col("embedding").alias("q"))
+    return retrieval.dense(vectors, asked, 5, id_col="doc_id", exclude_self=True)
+
+
 def _replayed(spark, rows, ts: str, make):
     """A stateful stream over rows, in files in the order of arrival, run twice on one checkpoint: the second time after a last
     row from far later, which moves the watermark past all others."""
