@@ -159,16 +159,17 @@ class VectorIndex(Versions):
             mine = [(w, q) for n, w, q in search._by_length(rows["q"].combine_chunks()) if n == centre.shape[1]]
             if not mine or not len(mine[0][0]):
                 continue
-            names, q = rows["q_id"].to_numpy()[mine[0][0]], mine[0][1]
+            names = rows["q_id"].to_numpy()[mine[0][0]]
+            order = np.argsort(names, kind="stable")
+            names, q = names[order], mine[0][1][order]
             most = q @ centre[cluster].T + np.sqrt((q**2).sum(1))[:, None] * far
             first = np.zeros(most.shape, bool)
             np.put_along_axis(first, np.argsort(-(q @ centre[cluster].T), axis=1)[:, : max(1, min(most.shape[1], 2))], True, axis=1)
             found = written(self._scored(manifest, names, q, first, part, cluster, k, wanted, digits, exclude_self), "first")
             kth = search.top(found, "q_id", [F.col("sim").desc()], k).where(F.col("rk") == k).select("q_id", "sim").toArrow()  # a row a query of the batch
             least = np.full(len(names), -np.inf)
-            order = np.argsort(names, kind="stable")
             for name, sim in zip(kth["q_id"].to_pylist(), kth["sim"].to_pylist(), strict=True):
-                least[order[np.searchsorted(names[order], name) : np.searchsorted(names[order], name, side="right")]] = sim
+                least[np.searchsorted(names, name) : np.searchsorted(names, name, side="right")] = sim
             rest = (most >= least[:, None] - 10.0**-digits) & ~first
             self.reads = self.reads[0] + int(first.sum() + rest.sum()), self.reads[1] + most.size
             out.append(found)
@@ -187,8 +188,9 @@ class VectorIndex(Versions):
             rows = self._part(manifest, p).where(F.col("cluster").isin([c for x, c in asking if x == p]))
             each.append((rows if wanted is None else rows.where(wanted)).select(self.id_col, self.vector_col, "cluster", "part"))
 
-        def step(b: pa.RecordBatch, best: search._Best) -> None:
+        def step(b: pa.RecordBatch, held: dict) -> None:
             names, q, asking = sent.value
+            best = held.setdefault(0, search._Best(names, k, digits))
             where = (b.column(3).to_numpy().astype(np.int64) << 32) + b.column(2).to_numpy()
             for key in np.unique(where).tolist():
                 mine = asking.get((key >> 32, key & 0xFFFFFFFF))
@@ -196,12 +198,11 @@ class VectorIndex(Versions):
                 if mine is None:
                     continue
                 v = own.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
-                sims = search.rounded(q[mine] @ v.T, digits)
-                for i, name in enumerate(names[mine].tolist()):
-                    keep = pc.fill_null(pc.not_equal(own.column(0), name), True) if exclude_self else None
-                    if keep is None:
-                        best.add(name, sims[i], own.column(0))
-                    else:
-                        best.add(name, sims[i][keep.to_numpy(zero_copy_only=False)], own.column(0).filter(keep))
+                for at in range(0, len(mine), high := max(1, search.HELD_SCORES // 8 // len(v))):
+                    some = mine[at : at + high]
+                    sims = q[some] @ v.T
+                    if exclude_self:
+                        sims[search.own(names[some], own.column(0))] = -np.inf
+                    best.add(sims, own.column(0), some)
 
         return search._scan(reduce(DataFrame.unionByName, each), self.id_col, "sim", k, step)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,29 @@ def test_a_vector_index_equals_a_scan(spark, tmp_path):
     empty = VectorIndex(spark, f"file://{tmp_path}/e", columns=["kind"])
     empty.build(put([]).limit(0))
     assert empty.search(asked, 3).count() == 0
+
+
+def test_best_rows_of_many_queries_at_once():
+    """Tables of scores with ties and rows that take no part, in several turns, against sorting all."""
+    r = np.random.default_rng(2)
+    scores = r.integers(0, 12, (7, 90)) / 4.0
+    scores[r.random(scores.shape) < 0.3] = -np.inf
+    best = search._Best(np.arange(7) * 50, 4)
+    for at in range(0, 90, 30):
+        best.add(scores[:, at : at + 30], pa.array(np.arange(90)[::-1][at : at + 30]))
+    got = [x for b in best.rows(["q", "i", "s"]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = [(q * 50, 89 - i, s) for q in range(7) for s, i in sorted([(scores[q, j], j) for j in range(90) if scores[q, j] >= 0], key=lambda x: (-x[0], -x[1]))[:4]]
+    assert got == want
+
+
+def test_common_terms_score_like_rare_ones():
+    r = np.random.default_rng(4)
+    weights, parts = (np.where(r.random(shape) < 0.4, r.random(shape), 0.0) for shape in ((40, 9), (25, 9)))
+    weights[:, 3:] *= r.random((40, 6)) < 0.1
+    term, query = np.nonzero(weights.T)
+    asked = search.Asked(np.arange(40), pa.array([f"w{i}" for i in range(9)]), np.searchsorted(term, np.arange(10)), query, weights[query, term])
+    assert 0 < asked.table.shape[1] < 9
+    doc, of = np.nonzero(parts)
+    assert np.allclose(asked.scores(doc, of, parts[doc, of], 25), weights @ parts.T)
+    some = np.array([3, 17, 30])
+    assert np.allclose(asked.only(some).scores(doc, of, parts[doc, of], 25), weights[some] @ parts.T)
