@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,40 @@ def without_near_copies(blocks: DataFrame, ratio: float = 0.92, chars: int = 500
 
     Where a document has no two blocks whose bounds of likeness reach the ratio, nothing is aligned.
     """
-    import pandas as pd
-
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord")
-        return g[new_blocks([(text or "").lower().strip()[:chars] for text in g["text"]], ratio, window, shrinking)[0]]
-
-    return blocks.groupBy("doc_id").applyInPandas(keep, blocks.schema)
+    import numpy as np
+    import pyarrow as pa
+
+    names = blocks.columns
+    id_at, text_at = names.index("doc_id"), names.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """What stays of the whole documents held, and the last, perhaps unfinished one is held on."""
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = rows.column(id_at).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edge = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)].tolist()
+            upto = edge[-1] if ended else edge[-2]
+            keys = [(t or "").lower().strip()[:chars] for t in rows.column(text_at).slice(0, upto).to_pylist()]
+            mask = [m for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi <= upto for m in new_blocks(keys[lo:hi], ratio, window, shrinking)[0]]
+            held[:] = [rows.slice(upto)] if upto < len(ids) else []
+            if upto:
+                yield rows.slice(0, upto).filter(pa.array(mask, pa.bool_()))
+
+        ended, most = False, 1
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) > most:
+                yield from done()
+                most = 2 * sum(h.num_rows for h in held)
+        ended = True
+        if held:
+            yield from done()
+
+    # documents come sorted, many to a batch: a call of Python for each document would cost more than what it does
+    return blocks.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(keep, blocks.schema)
 
 
 def rejoined(blocks: DataFrame) -> DataFrame:

@@ -168,3 +168,18 @@ def test_finalise_numbers_from_one(spark):
 def test_entities(spark):
     got = one(spark, T.entities(F.col("t")), t='The EBITDA of Cloud Services in 2024 was $4.2B, up 12% says "the CFO"')
     assert got[:2] == ["EBITDA", "CFO"] and "Cloud Services" in got and "$4.2B" in got and "12%" in got and "The" not in got
+
+
+def test_near_copies_in_documents_longer_than_a_batch(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "echo"]
+    rows = [(d, i, 0, " ".join(words[(i * k + d) % 5] for k in range(1, 2 + i % 4)) * (1 + i % 3)) for d in range(3) for i in range(5 + 9 * d)] + [(None, 0, 0, None), (None, 1, 0, "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = cleaning.without_near_copies(spark.createDataFrame(rows, "doc_id int, ord int, page int, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for d in (0, 1, 2, None):
+        mine = [r for r in rows if r[0] == d]
+        want += [r for r, new in zip(mine, cleaning.new_blocks([r[3] or "" for r in mine])[0], strict=True) if new]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
