@@ -17,12 +17,12 @@ def cells(text: Column, chars: int = CHARS) -> Column:
     """The cells of a text's trigrams: letters in lower case, other runs as one blank, with a blank at both ends."""
     whole = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(text, 1, chars)), r"[^\p{L}]+", " ")), F.lit(" "))
 
-    def of(s: Column) -> Column:
-        code = lambda at, i: F.ascii(F.substring(s, at + i, F.lit(1)))
-        places = F.when(F.length(s) > 2, F.sequence(F.lit(1), F.length(s) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda at: (code(at, 0) * 961 + code(at, 1) * 31 + code(at, 2)) % CELLS)
+    def of(codes: Column) -> Column:
+        places = F.when(F.size(codes) > 2, F.sequence(F.lit(0), F.size(codes) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: (F.get(codes, i) * 961 + F.get(codes, i + 1) * 31 + F.get(codes, i + 2)) % CELLS)
 
-    return _once(whole, of)
+    # each character is looked at once: a place in a string is found by counting from its start
+    return _once(F.transform(F.split(whole, ""), F.ascii), of)
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
