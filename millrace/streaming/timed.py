@@ -1,13 +1,13 @@
 """Keyed state in event-time order: what a stream gives is what a sorted table would, however late its rows arrive.
 
-A key's rows wait in its state until the watermark has passed them, so each is taken after all that are earlier. Timers, too, are
-of event time: they end what is idle, once, and then the key's state is dropped.
+A key's rows wait in the state until the watermark has passed them, so each is taken after all that are earlier. Timers, too, are
+of event time: they end what is idle, once, and then what is held of the key is dropped.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,54 +20,70 @@ from millrace.operators.memory import TTL_SECONDS
 SECOND = 1_000_000
 #: How long a rewritten question is remembered.
 REWRITE_SECONDS = 300
+#: Groups of keys that share a state.
+SLOTS = 512
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_NAN = float("nan")
 
 
-def in_order(rows: DataFrame, keys: list[str], ts: str, late: str, step: Callable, expire: Callable | None, schema: str) -> DataFrame:
+def _key(values: Iterable) -> tuple:
+    """A key by which its values are found; NaN is equal to itself."""
+    return tuple(_NAN if isinstance(v, float) and v != v else v for v in values)
+
+
+def in_order(rows: DataFrame, keys: list[str], ts: str, late: str, step: Callable, expire: Callable | None, schema: str, slots: int = SLOTS) -> DataFrame:
     """Fold each key's rows of a stream in event-time order.
 
-    step(held, row) takes a row (a dict with `us`, its time in microseconds) and what is held of the key (a dict or None), and
+    step(held, row) takes a row (a dict with `us`, its time in microseconds) and what is held of the key (None or what can be pickled), and
     gives (output rows, held, time in microseconds at which it expires or None). expire(held, key) gives the rows of what has expired.
     Rows without a time are left out; rows that come after the watermark (the latest time less `late`) has passed them are
     dropped by Spark, as are times up to 1970. Rows of the same time are taken in the order of their values.
+
+    Keys are dealt over `slots` by hash. Those of a slot share a state, a timer and a call of Python, which for each key on its own
+    would cost a thousand times what a row does. A slot that gets a row writes its whole state anew.
     """
     fields = [c for c in rows.columns if c not in keys and c != ts]
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
+    kinds, n = dict(rows.dtypes), len(keys)
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, held, expiry = json.loads(state.get[0]) if state.exists else ([], None, None)
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {_key(k): one for k, *one in (pickle.loads(state.get[0]) if state.exists else [])}
         if not state.hasTimedOut:
             for g in batches:
-                values = g[fields].astype(object).where(g[fields].notna(), None).to_numpy().tolist()
-                pending += [[int(us), [v.item() if hasattr(v, "item") else v for v in row]] for us, row in zip(g["event_us"], values, strict=True)]
-        now, out = state.getCurrentWatermarkMs() * 1000, []
-
-        def end(upto: int) -> None:
-            nonlocal held, expiry
-            if held is not None and expiry is not None and expiry < upto:
-                out.extend(expire(held, key) if expire else [])
-                held, expiry = None, None
-
-        pending.sort(key=lambda r: (r[0], [(v is None, str(v)) for v in r[1]]))
-        ready = [r for r in pending if r[0] < now]
-        for us, row in ready:
-            end(us)
-            more, held, expiry = step(held, dict(zip(fields, row, strict=True)) | {"us": us})
-            out += more
-        end(now)
-        pending = pending[len(ready) :]
-        timers = [r[0] for r in pending[:1]] + ([expiry] if held is not None and expiry is not None else [])
-        if timers or held is not None:
-            state.update((json.dumps([pending, held, expiry]),))
+                for us, absent, *row in zip(*(g[c].tolist() for c in ("event_us", "event_nulls", *keys, *fields)), strict=True):
+                    row = [None if a == "1" else v for v, a in zip(row, absent, strict=True)] if "1" in absent else row
+                    known.setdefault(_key(row[:n]), [[], None, None])[0].append((us, row[n:]))
+        now, out, kept, timers = state.getCurrentWatermarkMs() * 1000, [], [], []
+        for key, (pending, held, expiry) in known.items():
+            ready = sorted((r for r in pending if r[0] < now), key=lambda r: (r[0], [(v is None, str(v)) for v in r[1]]))
+            for us, row in [*ready, (now, None)]:
+                if held is not None and expiry is not None and expiry < us:
+                    out += [(*key, *r) for r in (expire(held, key) if expire else [])]
+                    held, expiry = None, None
+                if row is not None:
+                    more, held, expiry = step(held, dict(zip(fields, row, strict=True)) | {"us": us})
+                    out += [(*key, *r) for r in more]
+            pending = [r for r in pending if r[0] >= now]
+            if pending or held is not None:
+                kept.append((key, pending, held, expiry))
+                timers += [min(r[0] for r in pending)] if pending else []
+                timers += [expiry] if held is not None and expiry is not None else []
+        if kept:
+            state.update((pickle.dumps(kept),))
             if timers:
                 state.setTimeoutTimestamp(max(min(timers) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([[*key, *row] for row in out], columns=[*keys, *names]).astype(object) if out else pd.DataFrame({c: [] for c in [*keys, *names]})
-
-    timed = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).withColumn("event_us", F.unix_micros(ts))
-    kinds = dict(rows.dtypes)
+        columns = zip(*out, strict=True) if out else [[] for _ in (*keys, *names)]
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip((*keys, *names), columns, strict=True)})
+
+    timed = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    # pandas would turn whole numbers into fractions where one is null
+    absent = F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in (*keys, *fields)])
+    filled = [F.coalesce(c, F.lit(0).cast(kinds[c])).alias(c) if kinds[c] in _WHOLE else F.col(c) for c in (*keys, *fields)]
+    dealt = timed.select(ts, F.unix_micros(ts).alias("event_us"), absent.alias("event_nulls"), F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("event_slot"), *filled)
     whole = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {schema}"
-    return timed.groupBy(*keys).applyInPandasWithState(run, whole, "packed string", "append", GroupStateTimeout.EventTimeTimeout)
+    return dealt.groupBy("event_slot").applyInPandasWithState(run, whole, "packed binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rewrite_cache(requests: DataFrame, session: str, question: str, ts: str, late: str, ttl_seconds: int = REWRITE_SECONDS, id_col: str = "request_id") -> DataFrame:
