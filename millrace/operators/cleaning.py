@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import LEAST_BLOCK, is_noise, normalise_block, strip
+from millrace.functions.text import LEAST_BLOCK, is_noise, is_noise_stripped, normalise_block, strip
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n") -> DataFrame:
     """Nonempty paragraphs of each text: id, ord from 0, text."""
     parts = F.filter(F.transform(F.split(F.col(text_col), separator), strip), lambda p: p != "")
-    return docs.select(F.col(id_col), F.posexplode(parts).alias("ord", "text")).withColumn("ord", F.col("ord").cast("bigint"))
+    # the outer form, as Spark would find the parts once more to leave texts without any out
+    return docs.select(F.col(id_col), F.posexplode_outer(parts).alias("ord", "text")).where("ord IS NOT NULL").withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def once(blocks: DataFrame, column: str, value: Column) -> DataFrame:
+    """The column's value, computed once a row: conditions on a plain column would each compute it again."""
+    return blocks.select(*[F.explode(F.array(value)).alias(c) if c == column else F.col(c) for c in blocks.columns])
 
 
 def key_of(text):
@@ -27,7 +33,8 @@ def without_noise(blocks: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
 def without_running_heads(blocks: DataFrame, times: int = 3, longest: int = 80) -> DataFrame:
     """Short blocks that a document repeats are headers and footers: they go."""
     key = key_of(F.col("text"))
-    seen = F.count("*").over(Window.partitionBy("doc_id", key))
+    whole = Window.partitionBy("doc_id", key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # sorted as `distinct` needs it
+    seen = F.count("*").over(whole)
     return blocks.withColumn("_n", seen).where(~((F.length(key) < longest) & (F.col("_n") >= times))).drop("_n")
 
 
@@ -132,17 +139,17 @@ def rejoined(blocks: DataFrame) -> DataFrame:
     piece = F.when(F.coalesce(ends_hyphen, F.lit(False)), F.regexp_replace("text", r"-\s*$", "")).otherwise(F.col("text"))
     lead = F.when(F.col("_join") & ~F.col("_glue"), " ").otherwise("")
     parts = island.withColumn("_piece", F.concat(lead, piece))
-    return parts.groupBy("doc_id", "_i").agg(F.min("ord").alias("ord"), F.first("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_piece"))), lambda x: x["_piece"]), "").alias("text")).drop("_i")
+    return parts.groupBy("doc_id", "_i").agg(F.min("ord").alias("ord"), F.first("page").alias("page"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_piece"))), lambda x: x["_piece"]), "").alias("text")).drop("_i")
 
 
 def clean(blocks: DataFrame, *, heads: bool = True, copies: bool = True, near: bool = False, rejoin: bool = True, least: int = LEAST_BLOCK) -> DataFrame:
     """The whole pipeline: normalise, noise, running heads, copies, fragments, normalise, noise."""
-    tidy = lambda b: b.withColumn("text", normalise_block(F.col("text")))
-    out = without_noise(tidy(blocks), least)
+    tidy = lambda b: once(b, "text", normalise_block(F.col("text"))).where(~is_noise_stripped(F.col("text"), least))
+    out = tidy(blocks.repartition("doc_id"))  # all that follows is by document, so blocks are shuffled once
     out = without_running_heads(out) if heads else out
     out = distinct(out) if copies else out
     out = without_near_copies(out) if near else out
-    return without_noise(tidy(rejoined(out) if rejoin else out), least)
+    return tidy(rejoined(out) if rejoin else out)
 
 
 def carry_headings(blocks: DataFrame, heading: str = "heading", key: list[str] | None = None) -> DataFrame:

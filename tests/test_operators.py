@@ -183,3 +183,25 @@ def test_near_copies_in_documents_longer_than_a_batch(spark):
         mine = [r for r in rows if r[0] == d]
         want += [r for r, new in zip(mine, cleaning.new_blocks([r[3] or "" for r in mine])[0], strict=True) if new]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_cleaning_computes_a_block_once(spark):
+    """Blocks are shuffled once, and no condition repeats the patterns of the column that it is about."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import cleaning
+
+    docs = spark.createDataFrame([(1, "A page of words,\nbroken in lines-\nthat go on here\n12\n\n"), (2, None), (3, ""), (4, "\n \n")], "doc_id int, text string")
+    blocks = cleaning.paragraphs(docs, separator="\n")
+    assert [tuple(r) for r in blocks.orderBy("ord").collect()] == [(1, 0, "A page of words,"), (1, 1, "broken in lines-"), (1, 2, "that go on here"), (1, 3, "12")]
+    done = cleaning.clean(blocks.withColumn("page", F.lit(0)))
+    assert sorted((r.ord, r.text) for r in done.collect()) == [(0, "A page of words,"), (1, "broken in linesthat go on here")]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1
+    assert plan.count("[ \\t]{2,}") == 2  # at the start and after fragments are joined
+    physical = done._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1]
+    assert physical.count("Exchange hashpartitioning") == 1 or physical.count("Exchange") == 1
+    found = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("split(") == 1
