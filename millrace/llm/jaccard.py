@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes (operator 4).
 
-Documents with equal shingle sets make one node, named by 128 bits. Shingles are ordered by how many
-nodes hold them (rare first). Nodes whose similarity reaches the threshold share at least l of the
+Documents with equal shingle sets make one node, named by 128 bits; only the first SHORT bytes of the names
+travel, unless two nodes have these in common. Shingles are ordered by how many nodes hold them (rare first). Nodes whose similarity reaches the threshold share at least l of the
 shingles in their l-prefixes: the first n - ceil(t n) + l in that order. Each node picks the l, and so
 the length of its prefix, for which its postings and candidates are estimated to cost the least; a
 pair is verified only if it shares min(l, l') prefix shingles at places that leave room for enough more.
@@ -17,6 +17,7 @@ the list's leader, and what is left in different components is compared tile by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,12 @@ FLUSH = 2_000_000
 SPLIT = 1 << 15
 #: Entries of each side that a tile of a dealt list compares.
 TILE = 4096
+#: Bytes of a name that travel if they tell all nodes apart, and of a whole name.
+SHORT, NAME = 8, 16
 #: Prefix entries for each bucket, and followers that meet one copy of their leader.
 BUCKET_ENTRIES, FOLLOWERS = 1 << 21, 256
+#: Pairs that are broadcast at once to where texts are, and in how many batches at most; beyond that texts are shuffled once more.
+PAIRS, BATCHES = 1 << 19, 8
 
 
 def _lower(text: pa.Array) -> pa.Array:
@@ -53,12 +58,17 @@ def _node(s: np.ndarray) -> bytes:
 
 
 def _names(x: np.ndarray) -> pa.Array:
-    """16-byte names as Arrow binaries."""
-    return binary_array(np.frombuffer(x.tobytes(), np.uint8), 16 * np.arange(len(x) + 1))
+    """Names as Arrow binaries."""
+    return binary_array(np.frombuffer(x.tobytes(), np.uint8), x.dtype.itemsize * np.arange(len(x) + 1))
 
 
 def _from_names(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "S16")
+    return _cut_names(b"".join(column.to_pylist()), len(column))
+
+
+def _cut_names(data: bytes, n: int) -> np.ndarray:
+    """n names that lie end to end."""
+    return np.frombuffer(data, f"S{len(data) // n if n else NAME}")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], size: int, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -98,6 +108,8 @@ def _joined(table: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
         parts = table.column(name).to_pylist()
         if name in _NARROW:
             out.append(np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else kind).astype(kind) for x, n in zip(parts, count, strict=True)] or [np.zeros(0, kind)]))
+        elif name == "node":
+            out.append(_cut_names(b"".join(parts), sum(count)))
         else:
             out.append(np.frombuffer(b"".join(parts), kind))
     return out
@@ -240,7 +252,7 @@ class _Order:
         return s[: base + ask - 1], count[: base + ask - 1], ask
 
 
-def _prefixes(heavy, size: int, percent: int, buckets: int):
+def _prefixes(heavy, size: int, percent: int, buckets: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(heavy.value, percent)
         held: list[tuple] = []
@@ -249,12 +261,12 @@ def _prefixes(heavy, size: int, percent: int, buckets: int):
         def flush() -> pa.RecordBatch:
             token, count = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             m = [len(x[0]) for x in held]
-            node, n, ask = (np.repeat(np.array([x[k] for x in held], t), m) for k, t in ((2, "S16"), (3, np.int32), (4, np.uint8)))
+            node, n, ask = (np.repeat(np.array([x[k] for x in held], t), m) for k, t in ((2, f"S{wide}"), (3, np.int32), (4, np.uint8)))
             pos = np.concatenate([np.arange(x, dtype=np.int32) for x in m])
             spread = mixed(token)
             dealt = count > SPLIT
             if dealt.any():
-                part = np.frombuffer(node[dealt].tobytes(), np.uint64)[::2] % (count[dealt].astype(np.uint64) // np.uint64(SPLIT) + np.uint64(1))
+                part = np.frombuffer(node[dealt].tobytes(), np.uint64)[:: wide // 8] % (count[dealt].astype(np.uint64) // np.uint64(SPLIT) + np.uint64(1))
                 spread[dealt] = mixed(spread[dealt] + part)
                 ask = np.where(dealt, ask | _DEALT, ask).astype(np.uint8)
             bucket = (spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -262,7 +274,7 @@ def _prefixes(heavy, size: int, percent: int, buckets: int):
 
         for node, s in _once(batches, size):
             tokens, count, ask = order.prefix(s)
-            held.append((tokens, count, node, len(s), ask))
+            held.append((tokens, count, node[:wide], len(s), ask))
             total += len(tokens)
             if total >= FLUSH:
                 yield flush()
@@ -486,6 +498,13 @@ def _similar(size: int, percent: int):
     return run
 
 
+def _nodes(mine: DataFrame, id_col: str, wide: int, copies: str, several: str) -> DataFrame:
+    """Each node by so many bytes of its name, with its least id, its rows, and whether several nodes have these bytes."""
+    name = F.xxhash64("node")
+    found = mine.where("node is not null").groupBy(F.substring("node", 1, wide).alias("node"))
+    return materialised(found.agg(F.min(id_col).alias(id_col), F.count("*").alias(copies), (F.min(name) != F.max(name)).alias(several)), "nodes")
+
+
 def _filter_bits(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2^bits with the low bits of a column's hashes set; its size doesn't depend on the rows."""
     cell = F.col(column).bitwiseAND((1 << bits) - 1)
@@ -511,12 +530,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries_about // BUCKET_ENTRIES)
     text = docs.select(text_col)
     heavy = spark.sparkContext.broadcast(heavy_cells(text, size, buckets))
-    entries = text.mapInArrow(_prefixes(heavy, size, percent, buckets), _ENTRY_DDL)
+    copies, several = fresh([id_col], "copies", "several")
+    wide, nodes = SHORT, _nodes(mine, id_col, SHORT, copies, several)
+    if not nodes.where(several).isEmpty():
+        wide, nodes = NAME, _nodes(mine, id_col, NAME, copies, several)
+    nodes, mine = nodes.drop(several), mine.withColumn("node", F.substring("node", 1, wide))
+    entries = text.mapInArrow(_prefixes(heavy, size, percent, buckets, wide), _ENTRY_DDL)
     shared = materialised(entries.groupBy("bucket").applyInArrow(_shared, _ENTRY_DDL), "postings")
 
-    (copies,) = fresh([id_col], "copies")
-    nodes = materialised(mine.where("node is not null").groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias(copies)), "nodes")
-
     def verified(pairs: DataFrame, counted: bool) -> DataFrame:
         """The pairs that are similar; `counted`: their shared prefix shingles have been counted.
 
@@ -536,7 +557,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     rows = []
                     text = _lower(texts(b, 1))
                     for key, s, t in zip(b.column(0).to_pylist(), shingle_sets(text, size), text.cast(pa.binary()).to_pylist(), strict=True):
-                        if len(s) and (name := (key, _node(s))) not in seen:
+                        if len(s) and (name := (key, _node(s)[:wide])) not in seen:
                             seen.add(name)
                             prefix, _, ask = order.prefix(s)
                             rows.append((*name, len(s), ask, prefix.astype("<u4").tobytes(), codec.compress(t, asbytes=True), len(t)))
@@ -548,6 +569,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         whole = materialised(picked, "candidate-sets")  # a task's copies of a node are one; another task's make a pair come twice
         a, b = (members.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
         ends = 2 * pairs.count()
+        batches = max(1, -(-ends // (2 * PAIRS)))
         both = join_spread(join_spread(pairs, a, "a", "pa", ends), b, "b", "pb", ends)
         turned = F.struct("pb", "b") < F.struct("pa", "a")
         hub, other = (F.when(t, F.struct(F.col("a").alias("node"), F.col("ka").alias("key"), F.col("pa").alias("pairs"))).otherwise(F.struct(F.col("b").alias("node"), F.col("kb").alias("key"), F.col("pb").alias("pairs"))) for t in (turned, ~turned))
@@ -557,13 +579,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         def meet(keyed: DataFrame, columns: list[str], check) -> DataFrame:
             held = whole.select("node", "key", *columns)
             f, h = (held.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
-            hubs = keyed.select("b", "kb", "salt").distinct().join(h, ["b", "kb"])
-            return keyed.join(f, ["a", "ka"]).join(hubs, ["b", "kb", "salt"]).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns]).mapInArrow(check(size, percent), "a binary, b binary")
+            near = F.broadcast if batches <= BATCHES else lambda x: x
+
+            def met(part: DataFrame) -> DataFrame:
+                hubs = near(part.select("b", "kb", "salt").distinct()).join(h, ["b", "kb"])
+                return near(part).join(f, ["a", "ka"]).join(hubs, ["b", "kb", "salt"]).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
+
+            turns = batches if 1 < batches <= BATCHES else 1
+            parts = [met(keyed.where(F.pmod(F.xxhash64("b", "salt"), F.lit(turns)) == k) if turns > 1 else keyed) for k in range(turns)]
+            return reduce(DataFrame.unionByName, parts).mapInArrow(check(size, percent), "a binary, b binary")
 
+        keyed = materialised(keyed, "hub-pairs")
         if not counted:
-            keyed = materialised(keyed, "hub-pairs")
             admitted = materialised(meet(keyed, ["n", "ask", "prefix"], _multi_match).distinct(), "admitted-pairs")
-            keyed = keyed.join(admitted, ["a", "b"], "left_semi")
+            keyed = materialised(keyed.join(admitted, ["a", "b"], "left_semi"), "hub-pairs")
         return meet(keyed, ["text", "bytes"], _similar)
 
     led = materialised(shared.mapInArrow(_leaders(percent), "a binary, b binary, token bigint, n bigint, pos bigint"), "led")

@@ -139,6 +139,18 @@ def test_jaccard_join(docs, corpus, clashing):
         assert key((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(d).collect()) == want
 
 
+def test_names_are_short_where_that_is_enough(docs, corpus, monkeypatch):
+    """Half of each name travels; where halves meet (here first bytes do), all of it, with the same groups."""
+    sets, root, ids = groups(corpus)
+    want = key((r[0], min(ids[root(k)], default=None) if s else r[0]) for k, (r, s) in enumerate(zip(corpus, sets, strict=True)))
+    for short, wide, pairs in ((8, 8, 3), (1, 16, 1)):  # pairs in several batches, and more than are broadcast
+        monkeypatch.setattr(jaccard, "SHORT", short)
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        rows = jaccard.join(docs).collect()
+        assert key((r.doc_id, r.component_id) for r in rows) == want
+        assert {len(x) for r in rows for x in (r.node, r.component) if x is not None} == {wide}
+
+
 def test_representatives(docs, corpus, clashing):
     sets, root, _ = groups(corpus)
     kept = jaccard.representatives(clashing)
