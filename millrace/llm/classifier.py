@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import fresh, reachable, slices, texts, words_of
+from millrace.llm.arrowio import fresh, frugal, reachable, slices, texts, words_of
 
 #: log2 of the number of weights.
 BITS = 18
@@ -95,7 +95,7 @@ def fit(sample: DataFrame, label: str = "quality", epochs: int = 3, alpha: float
                 n[i] = ni + g2
         yield pa.RecordBatch.from_arrays([pa.array([weights(z, n).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    made = sample.mapInArrow(sparse, "order_key bigint, label int, ids binary, vals binary").repartition(1).sortWithinPartitions("order_key").mapInArrow(train, "w binary").collect()
+    made = sample.mapInArrow(frugal(sparse), "order_key bigint, label int, ids binary, vals binary").repartition(1).sortWithinPartitions("order_key").mapInArrow(frugal(train), "w binary").collect()
     return np.frombuffer(bytes(made[0].w), np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -137,7 +137,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_
             for b in slices(whole, at):
                 yield b.filter(pa.array(_scores(texts(b, at), w) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", carry: l
                 found = pa.array(_scores(texts(b, len(kept)), w))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), found], [*kept, "score"])
 
-    return docs.select(*kept, F.col("text").alias(fresh(kept, "_text")[0])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double")
+    return docs.select(*kept, F.col("text").alias(fresh(kept, "_text")[0])).mapInArrow(frugal(run), ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

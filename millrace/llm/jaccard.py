@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import binary_array, fresh, materialised, reachable, slices, texts
+from millrace.llm.arrowio import binary_array, fresh, frugal, frugal_group, materialised, reachable, slices, texts
 from millrace.llm.components import components
 from millrace.llm.hashing import mixed, shingle_sets
 from millrace.llm.skew import join_spread
@@ -35,7 +35,7 @@ SIZE, PERCENT = 5, 80
 #: Heaviest shingle cells whose counts order the prefixes; the rest count as rare. Bounds a broadcast.
 HEAVY_CELLS = 1 << 20
 #: Prefix entries that a task holds before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Nodes of a posting list that one bucket takes; longer lists are dealt over several.
 SPLIT = 1 << 15
 #: Entries of each side that a tile of a dealt list compares.
@@ -122,7 +122,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         for b, found in _sets_of(batches, size, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.binary())], [id_col, "text_key", "n_shingles", "node"])
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, text_key bigint, n_shingles bigint, node binary")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(frugal(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, text_key bigint, n_shingles bigint, node binary")
 
 
 def _gaps(values: np.ndarray, base: int) -> bytes:
@@ -190,7 +190,7 @@ def heavy_cells(texts_only: DataFrame, size: int, buckets: int) -> tuple[np.ndar
         keep = keep[np.argsort(-n[keep], kind="stable")[:most]]
         return pa.table({"cells": pa.array([cells[first[keep]].tobytes()], pa.binary()), "counts": pa.array([np.minimum(n[keep], 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    rows = texts_only.mapInArrow(count, "bucket int, cells binary, often binary, times binary").groupBy("bucket").applyInArrow(heaviest, "cells binary, counts binary").collect()  # HEAVY_CELLS at most
+    rows = texts_only.mapInArrow(frugal(count), "bucket int, cells binary, often binary, times binary").groupBy("bucket").applyInArrow(frugal_group(heaviest), "cells binary, counts binary").collect()  # HEAVY_CELLS at most
     cells = np.frombuffer(b"".join(bytes(r.cells) for r in rows), np.uint32)
     counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.uint32)
     order = np.argsort(cells)
@@ -249,7 +249,7 @@ class _Order:
             s, count = s[by], count[by]
             if count[: base + 3].any():
                 ask = min(choose(count.astype(np.int64), base), least)
-        return s[: base + ask - 1], count[: base + ask - 1], ask
+        return s[: base + ask - 1].copy(), count[: base + ask - 1].copy(), ask  # a view would keep the whole set as long as the prefix
 
 
 def _prefixes(heavy, size: int, percent: int, buckets: int, wide: int):
@@ -457,7 +457,7 @@ def _tiles(dealt: DataFrame, percent: int) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = known.select(*cols, F.lit(0).alias("side"), part.cast("int").alias("part"), upto("chunks").alias("chunk"))
     outside = known.where("rest = 1").select(*cols, F.lit(1).alias("side"), upto("parts").alias("part"), chunk.cast("int").alias("chunk"))
-    return every.unionByName(outside).groupBy("token", "part", "chunk").applyInArrow(_tile(percent), _FOUND_DDL)
+    return every.unionByName(outside).groupBy("token", "part", "chunk").applyInArrow(frugal_group(_tile(percent)), _FOUND_DDL)
 
 
 def _multi_match(size: int, percent: int):
@@ -535,8 +535,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     if not nodes.where(several).isEmpty():
         wide, nodes = NAME, _nodes(mine, id_col, NAME, copies, several)
     nodes, mine = nodes.drop(several), mine.withColumn("node", F.substring("node", 1, wide))
-    entries = text.mapInArrow(_prefixes(heavy, size, percent, buckets, wide), _ENTRY_DDL)
-    shared = materialised(entries.groupBy("bucket").applyInArrow(_shared, _ENTRY_DDL), "postings")
+    entries = text.mapInArrow(frugal(_prefixes(heavy, size, percent, buckets, wide)), _ENTRY_DDL)
+    shared = materialised(entries.groupBy("bucket").applyInArrow(frugal_group(_shared), _ENTRY_DDL), "postings")
 
     def verified(pairs: DataFrame, counted: bool) -> DataFrame:
         """The pairs that are similar; `counted`: their shared prefix shingles have been counted.
@@ -565,7 +565,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "node", "n", "ask", "prefix", "text", "bytes"])
 
-        picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(pick, "key bigint, node binary, n int, ask int, prefix binary, text binary, bytes int")
+        picked = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(frugal(pick), "key bigint, node binary, n int, ask int, prefix binary, text binary, bytes int")
         whole = materialised(picked, "candidate-sets")  # a task's copies of a node are one; another task's make a pair come twice
         a, b = (members.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
         ends = 2 * pairs.count()
@@ -587,7 +587,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
             turns = batches if 1 < batches <= BATCHES else 1
             parts = [met(keyed.where(F.pmod(F.xxhash64("b", "salt"), F.lit(turns)) == k) if turns > 1 else keyed) for k in range(turns)]
-            return reduce(DataFrame.unionByName, parts).mapInArrow(check(size, percent), "a binary, b binary")
+            return reduce(DataFrame.unionByName, parts).mapInArrow(frugal(check(size, percent)), "a binary, b binary")
 
         keyed = materialised(keyed, "hub-pairs")
         if not counted:
@@ -595,7 +595,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             keyed = materialised(keyed.join(admitted, ["a", "b"], "left_semi"), "hub-pairs")
         return meet(keyed, ["text", "bytes"], _similar)
 
-    led = materialised(shared.mapInArrow(_leaders(percent), "a binary, b binary, token bigint, n bigint, pos bigint"), "led")
+    led = materialised(shared.mapInArrow(frugal(_leaders(percent)), "a binary, b binary, token bigint, n bigint, pos bigint"), "led")
     parts = led.where("b is null").select("a", "token", "n", "pos")
     # of dealt lists only, which are fewer than heavy cells
     tops = parts.groupBy("token").agg(F.min(F.struct("pos", F.col("a").alias("b"), F.col("n").alias("m"))).alias("t")).select("token", "t.b", "t.m")
@@ -618,9 +618,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 bucket = pa.array(np.full(len(token), b.column(0)[i].as_py(), np.int32))
                 yield pa.RecordBatch.from_arrays([bucket, pa.array(token.astype(np.int64)), _names(node), pa.array(n), pa.array(pos), pa.array((ask % _DEALT).astype(np.int32)), pa.array(dealt[keep])], ["bucket", *_ENTRY, "dealt"])
 
-    flat = shared.mapInArrow(unpack, "bucket int, token bigint, node binary, n int, pos int, ask int, dealt boolean")
+    flat = shared.mapInArrow(frugal(unpack), "bucket int, token bigint, node binary, n int, pos int, ask int, dealt boolean")
     labelled = flat.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = labelled.where("not dealt").groupBy("bucket").applyInArrow(_across(percent), _FOUND_DDL)
+    rest = labelled.where("not dealt").groupBy("bucket").applyInArrow(frugal_group(_across(percent)), _FOUND_DDL)
     if not parts.isEmpty():
         rest = rest.unionByName(_tiles(labelled.where("dealt"), percent))
     rest = rest.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")

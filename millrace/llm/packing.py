@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import materialised, reachable, slices, texts
+from millrace.llm.arrowio import frugal, materialised, reachable, slices, texts
 from millrace.llm.tokens import encoder
 
 #: A combination: its lengths with their number, in the order of their places, and how many sequences it makes.
@@ -178,7 +178,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "piece", "start", "length", "ids_crc32", "spread", "ids"][: len(cols)])
 
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint, spread bigint" + (", ids array<int>" if ids else "")
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), schema)
 
 
 def place(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
@@ -214,7 +214,7 @@ def place(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r[:, 2] + q // r[:, 3]), pa.array(r[:, 4] + q % r[:, 3] * length)], [*(c for c in names if c != "_rank"), "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank") + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", ids: bool = False) -> DataFrame:

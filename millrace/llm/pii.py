@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import reachable, slices, texts
+from millrace.llm.arrowio import frugal, reachable, slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "date", "id", "address", "name")
 
@@ -286,7 +286,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", least: int = LEAST, shar
                                 before[words[-1].lower()] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([before[w] for w in every], pa.int64())], names)
 
-    n = docs.select(text_col).mapInArrow(run, "word string, n bigint, before bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+    n = docs.select(text_col).mapInArrow(frugal(run), "word string, n bigint, before bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
     got = n.where((F.col("before") >= least) & (F.col("before") >= share * F.col("n"))).orderBy(F.desc("before"), "word").limit(most)
     return [r.word for r in got.collect()]
 
@@ -307,7 +307,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
                         seen[json.dumps([votes, features])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    got = docs.select(text_col).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(text_col).mapInArrow(frugal(run), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return fit(sorted((tuple(v), tuple(f), r.n) for r in got for v, f in [json.loads(r.pattern)])) | {f"word:{w}": 0.0 for w in learnt}
 
 
@@ -344,7 +344,7 @@ def detect(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", t
                         digest[i], spans[i] = hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(all_spans)
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return docs.select(id_col, "text").mapInArrow(frugal(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
@@ -372,7 +372,7 @@ def redact(docs: DataFrame, weights: dict[str, float], threshold: float = 0.5) -
                 new = pa.array([clean(x) if h else x for x, h in zip(t.to_pylist(), hit, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(names))], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

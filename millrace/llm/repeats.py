@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import coded, materialised, reachable, slices, split_words, texts
+from millrace.llm.arrowio import coded, frugal, frugal_group, materialised, reachable, slices, split_words, texts
 from millrace.llm.hashing import mixed, window_hashes
 from millrace.llm.skew import join_spread
 
@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int
                     packed = [pa.array([x.tobytes()], pa.binary()) for x in (anchors[first[keep]], times[keep].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), *[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), *packed], names)
 
-    scanned = materialised(source.mapInArrow(scan, f"`{id_col}` {id_type}, text_key bigint, n_words bigint, sequence binary, bucket int, packed binary, times binary"), "word-scan")
+    scanned = materialised(source.mapInArrow(frugal(scan), f"`{id_col}` {id_type}, text_key bigint, n_words bigint, sequence binary, bucket int, packed binary, times binary"), "word-scan")
     rows = scanned.where("packed is null").select(id_col, "text_key", "n_words", "sequence")
     words = rows.agg(F.sum("n_words").alias("n")).first().n or 0
     buckets = max(least, words // BUCKET_WORDS)
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int
         return pa.table({"hit": pa.array([np.unique(cells[1:][cells[1:] == cells[:-1]]).astype(np.uint32).tobytes()], pa.binary())})
 
     bitmap = np.zeros(1 << bits >> 3, np.uint8)
-    for r in scanned.where("bucket is not null").select("bucket", F.col("packed").alias("cells")).groupBy("bucket").applyInArrow(twice, "hit binary").toLocalIterator():
+    for r in scanned.where("bucket is not null").select("bucket", F.col("packed").alias("cells")).groupBy("bucket").applyInArrow(frugal_group(twice), "hit binary").toLocalIterator():
         hit = np.frombuffer(bytes(r.hit), np.uint32)
         np.bitwise_or.at(bitmap, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bitmap)  # 2^MOST_BITS bits at most
@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int
         if held:
             yield flush()
 
-    sent = source.mapInArrow(send, f"bucket int, id {id_type}, text_key bigint, first bigint, anchor int, n int, words binary")
+    sent = source.mapInArrow(frugal(send), f"bucket int, id {id_type}, text_key bigint, first bigint, anchor int, n int, words binary")
 
     def count(table: pa.Table) -> pa.Table:
         mask = pa.compute.is_null(table.column("words"))
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, window: int, answer: Callable[[pa.Table, int
         found = answer(table.filter(pa.compute.invert(mask)).combine_chunks(), window)
         return pa.concat_tables([own.select(["id", "text_key", "first", "end"]), found.cast(own.schema)])
 
-    spans = sent.groupBy("bucket").applyInArrow(count, f"id {id_type}, text_key bigint, first bigint, end bigint")
+    spans = sent.groupBy("bucket").applyInArrow(frugal_group(count), f"id {id_type}, text_key bigint, first bigint, end bigint")
     long = rows.where(F.col("n_words") >= window)
     copies = materialised(long.groupBy("sequence").agg(F.count("*").alias("k")).where("k > 1"), "copies")
     copied = join_spread(long, copies, "sequence", "k", long.count())
@@ -255,7 +255,7 @@ def _common(scanned: DataFrame, more: int) -> np.ndarray:
             anchors, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(times)], ["anchor", "times"])
 
-    counted = scanned.where("times is not null").select("packed", "times").mapInArrow(unpack, "anchor bigint, times bigint").groupBy("anchor").agg(F.sum("times").alias("times"))
+    counted = scanned.where("times is not null").select("packed", "times").mapInArrow(frugal(unpack), "anchor bigint, times bigint").groupBy("anchor").agg(F.sum("times").alias("times"))
     found = counted.where(F.col("times") > more).orderBy(F.col("times").desc(), "anchor").limit(MOST_COMMON).select("anchor").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowio import fresh, materialised, slices, texts, words_of
+from millrace.llm.arrowio import fresh, frugal, materialised, slices, texts, words_of
 from millrace.llm.hashing import mixed, window_hashes
 from millrace.llm.repeats import by_row, merged, repeated_spans, replies, runs
 
@@ -69,7 +69,7 @@ def _rewritten(docs: DataFrame, window: int, names: list[str], run, schema) -> D
     marks = materialised(spans(docs, window).select(F.col("doc_id").alias(r_id), F.col("text_key").alias(key), F.col("spans").alias(marked)), "repeated-spans")
     with_key = docs.select(*names, F.xxhash64("text").alias(own))
     both = with_key.join(marks, F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(own) == F.col(key)), "left").select(*names, marked)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(frugal(run), schema)
 
 
 def _kept_words(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
