@@ -83,8 +83,8 @@ def new_blocks(keys: list[str], ratio: float = 0.92, window: int = 6, shrinking:
     return mask, aligned
 
 
-def without_near_copies(blocks: DataFrame, ratio: float = 0.92, chars: int = 500, window: int = 6, shrinking: bool = False) -> DataFrame:
-    """Blocks that resemble one of the `window` kept before them go. `shrinking` narrows the window by each
+def without_near_copies(blocks: DataFrame, ratio: float = 0.92, window: int = 6, shrinking: bool = False) -> DataFrame:
+    """Blocks that resemble one of the `window` kept before them go; whole texts are compared. `shrinking` narrows the window by each
     block removed, down to none, as an older behaviour did. Null texts count as empty.
 
     Where a document has no two blocks whose bounds of likeness reach the ratio, nothing is aligned.
@@ -104,7 +104,7 @@ def without_near_copies(blocks: DataFrame, ratio: float = 0.92, chars: int = 500
             ids = rows.column(id_at).dictionary_encode(null_encoding="encode").indices.to_numpy()
             edge = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)].tolist()
             upto = edge[-1] if ended else edge[-2]
-            keys = [(t or "").lower().strip()[:chars] for t in rows.column(text_at).slice(0, upto).to_pylist()]
+            keys = [(t or "").lower().strip() for t in rows.column(text_at).slice(0, upto).to_pylist()]
             mask = [m for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi <= upto for m in new_blocks(keys[lo:hi], ratio, window, shrinking)[0]]
             held[:] = [rows.slice(upto)] if upto < len(ids) else []
             if upto:

@@ -170,6 +170,13 @@ def test_entities(spark):
     assert got[:2] == ["EBITDA", "CFO"] and "Cloud Services" in got and "$4.2B" in got and "12%" in got and "The" not in got
 
 
+def test_near_copies_are_told_by_their_whole_texts(spark):
+    same = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, 0, 0, same + " then the ship" + " sails" * 100), (1, 1, 0, same + " but no harbour" + " waits" * 100), (1, 2, 0, same + " then the ship" + " sails" * 99)]
+    assert len(same) > 500
+    assert [r.ord for r in cleaning.without_near_copies(spark.createDataFrame(rows, "doc_id int, ord int, page int, text string")).orderBy("ord").collect()] == [0, 1]
+
+
 def test_near_copies_in_documents_longer_than_a_batch(spark):
     words = ["alpha", "bravo", "charlie", "delta", "echo"]
     rows = [(d, i, 0, " ".join(words[(i * k + d) % 5] for k in range(1, 2 + i % 4)) * (1 + i % 3)) for d in range(3) for i in range(5 + 9 * d)] + [(None, 0, 0, None), (None, 1, 0, "")]
