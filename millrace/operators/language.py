@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 #: Cells that trigrams are dealt into; languages at most, so that the table of weights is bounded.
 CELLS, LANGUAGES = 1 << 14, 256
-#: Characters of a text that count, and below which nothing is said.
-CHARS, LEAST = 300, 30
+#: Characters below which nothing is said of a text.
+LEAST = 30
 
 
-def cells(text: Column, chars: int = CHARS) -> Column:
-    """The cells of a text's trigrams: letters in lower case, other runs as one blank, with a blank at both ends."""
-    whole = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(text, 1, chars)), r"[^\p{L}]+", " ")), F.lit(" "))
+def _codes(text: Column) -> Column:
+    """The characters that count of a whole text: letters in lower case, other runs as one blank, with a blank at both ends."""
+    whole = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+    # each character is looked at once: a place in a string is found by counting from its start
+    return F.transform(F.split(whole, ""), F.ascii)
 
-    def of(codes: Column) -> Column:
-        places = F.when(F.size(codes) > 2, F.sequence(F.lit(0), F.size(codes) - 3)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: (F.get(codes, i) * 961 + F.get(codes, i + 1) * 31 + F.get(codes, i + 2)) % CELLS)
 
-    # each character is looked at once: a place in a string is found by counting from its start
-    return _once(F.transform(F.split(whole, ""), F.ascii), of)
+def _places(codes: Column) -> Column:
+    return F.when(F.size(codes) > 2, F.sequence(F.lit(0), F.size(codes) - 3)).otherwise(F.array().cast("array<int>"))
+
+
+def _cell(codes: Column, i: Column) -> Column:
+    return (F.get(codes, i) * 961 + F.get(codes, i + 1) * 31 + F.get(codes, i + 2)) % CELLS
+
+
+def cells(text: Column) -> Column:
+    """The cells of a whole text's trigrams."""
+    return _once(_codes(text), lambda codes: F.transform(_places(codes), lambda i: _cell(codes, i)))
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -35,7 +43,11 @@ def learn(rows: DataFrame, language: str = "lang", text: str = "text") -> DataFr
 
     What is gathered are counts by language and cell, whatever the number of rows.
     """
-    each = rows.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("language"), F.explode(cells(F.col(text))).alias("cell"))
+    known = rows.where(F.col(language).isNotNull() & F.col(text).isNotNull())
+    # places are exploded, in the outer form, and codes as an array of one: compiled, and no text is looked at more than once
+    codes = known.select(F.col(language).alias("language"), F.explode(F.array(_codes(F.col(text)))).alias("codes"))
+    placed = codes.select("language", "codes", F.explode_outer(_places(F.col("codes"))).alias("i"))
+    each = placed.select("language", _cell(F.col("codes"), F.col("i")).alias("cell")).where("cell IS NOT NULL")
     counts = each.groupBy("language", "cell").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     every = totals.select("language", "total", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
@@ -51,7 +63,8 @@ def guessed(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "
     all cells being equally so. Ties go to the first by name. The model is one row of bounded size."""
 
     def best(found: Column) -> Column:
-        far = F.transform("model_known", lambda k: F.struct(F.aggregate(found, F.lit(0.0), lambda s, c: s + F.get(k["weights"], c)).alias("s"), k["language"].alias("l")))
+        total = lambda weights: F.aggregate(found, F.lit(0.0), lambda s, c: s + F.get(weights, c))
+        far = F.transform("model_known", lambda k: F.struct(_once(k["weights"], total).alias("s"), k["language"].alias("l")))
         none = F.struct((F.size(found) * F.log(F.lit(1.0 / CELLS))).alias("s"), F.lit("").alias("l"))
         return F.reduce(far, none, lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))["l"]
 

@@ -26,3 +26,12 @@ def test_texts_of_no_language(spark):
     assert got == {1: "en", 2: "de", 3: "", 4: "", 5: "", 6: ""}
     with pytest.raises(Exception, match="more than"):
         language.guessed(docs, language.learn(spark.range(300).select(F.lit("some words here").alias("text"), F.col("id").cast("string").alias("lang")))).collect()
+
+
+def test_whole_texts_count(spark):
+    late = "0123456789 " * 40
+    rows = [(1, "en", late + "the cat sat on the mat and the dog ran to the house"), (2, "de", late + "der Hund und die Katze sind nicht in dem Haus mit der Maus")]
+    docs = spark.createDataFrame(rows, "doc_id int, lang string, text string")
+    asked = spark.createDataFrame([(1, late + "the dog and the cat ran to the mat"), (2, late + "die Katze und der Hund mit dem Haus")], "doc_id int, text string")
+    got = {r.doc_id: r.language for r in language.guessed(asked, written(language.learn(docs), "languages")).collect()}
+    assert got == {1: "en", 2: "de"}
