@@ -246,3 +246,42 @@ def test_common_terms_score_like_rare_ones():
     assert np.allclose(asked.scores(doc, of, parts[doc, of], 25), weights @ parts.T)
     some = np.array([3, 17, 30])
     assert np.allclose(asked.only(some).scores(doc, of, parts[doc, of], 25), weights[some] @ parts.T)
+
+
+def test_groups_of_queries_have_exact_scores(monkeypatch):
+    """Queries and documents of two languages that share a few words, in small tiles, against a product of all with all."""
+    r = np.random.default_rng(5)
+    kind = lambda n: np.r_[np.zeros(n // 2, int), np.ones(n - n // 2, int)]
+    frequent = np.where(r.random(60) < 0.3, 0.5, 0.03)
+
+    def made(n):
+        k = r.permutation(kind(n))
+        own = np.c_[np.tile(k == 0, (30, 1)).T, np.tile(k == 1, (30, 1)).T]
+        return np.where(r.random((n, 60)) < np.where(own, frequent, 0.01), r.random((n, 60)) + 0.1, 0.0)
+
+    weights, parts = made(120), made(300)
+    term, query = np.nonzero(weights.T)
+    asked = search.Asked(np.arange(120), pa.array([f"w{i}" for i in range(60)]), np.searchsorted(term, np.arange(61)), query, weights[query, term])
+    assert len(asked.groups) > 1
+    monkeypatch.setattr(search, "HELD_SCORES", 40_000)
+    best = search._Best(np.arange(120), 7)
+    for at in range(0, 300, 150):
+        doc, of = np.nonzero(parts[at : at + 150])
+        mine = np.arange(120)[(np.arange(120) >= at) & (np.arange(120) < at + 150)]  # a query's own number is left out
+        asked.add_to(best, doc, of, parts[at + doc, of], pa.array(np.arange(at, at + 150)), without=(mine, mine - at))
+    got = [x for b in best.rows(["q", "i", "s"]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    score = search.rounded(weights @ parts.T, 6)
+    assert got == [(q, i, s) for q in range(120) for s, i in sorted([(score[q, i], i) for i in range(300) if i != q and score[q, i] > 0], key=lambda x: (-x[0], x[1]))[:7]]
+
+
+def test_blocks_are_shuffled_once_for_all_batches(spark, tmp_path, monkeypatch):
+    docs = {i: f"w{i % 5} w{i % 7} w{i % 11} x{i}" for i in range(60)}
+    index = Postings(spark, f"file://{tmp_path}/p", segment=20, folders=2)
+    index.build(frame(spark, docs))
+    asked = spark.createDataFrame([(i, f"w{i} x{i}") for i in range(8)], "q_id bigint, text string")
+    want = sorted(map(tuple, index.search(asked, 3).collect()))
+    monkeypatch.setattr(search, "BATCH_BYTES", 60)
+    shuffles, dealt = [], type(asked).repartition
+    monkeypatch.setattr(type(asked), "repartition", lambda self, *by: (shuffles.append(by), dealt(self, *by))[1])
+    assert sorted(map(tuple, index.search(asked, 3).collect())) == want
+    assert 0 < shuffles.count(("segment",)) <= 2
