@@ -285,3 +285,10 @@ def test_blocks_are_shuffled_once_for_all_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(asked), "repartition", lambda self, *by: (shuffles.append(by), dealt(self, *by))[1])
     assert sorted(map(tuple, index.search(asked, 3).collect())) == want
     assert 0 < shuffles.count(("segment",)) <= 2
+
+
+def test_the_index_is_written_densely(spark, tmp_path):
+    index = Postings(spark, f"file://{tmp_path}/p", segment=20, folders=2)
+    index.build(frame(spark, {i: f"w{i % 5} x{i}" for i in range(60)}))
+    blocks = list(tmp_path.glob("p/part-*/blocks/**/*.parquet"))
+    assert blocks and all(".zstd." in f.name for f in blocks)
